@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmend.llm.chunks import dedup_substrings
 from glyphmend.llm.common import table
 from glyphmend.llm.mixing import MAX_EPOCHS, WEIGHTS, mix_schedule
 from glyphmend.llm.sharding import minimax_shards
+from glyphmend.llm.simhash import near_duplicates
 from glyphmend.llm.urls import CONTRACT_RULES, judge_sql, judge_urls
 
 SHARDS = 24
@@ -52,10 +54,21 @@ select doc_id, source, size, source_size, target,
 from placed"""
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), CONTRACT_RULES)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: the text without passages that an earlier place has, and what was cut."""
+    out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.col("_removed").alias("removed_chars"), F.col("_gone").alias("removed_spans"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minimax_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -64,7 +77,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mixing": op3_mixing,
+        "op4_simhash": op4_simhash,
         "op5_url_filter": op5_url_filter,
+        "op6_substring_dedup": op6_substring_dedup,
         "op10_sharding": op10_sharding,
     }
 

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmend.llm.common import unpacked, whole_row
+
 MIN_WORDS = 20
 MIN_BYTES = 240
 #: Of 256: the share of word ends that end a chunk.
@@ -206,21 +208,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(raw[at:])
             cut = b"".join(kept).decode("utf-8", "surrogatepass")
             texts.append(cut), counts.append(len(t) - len(cut)), gone.append([{"start": a, "end": z} for a, z in spans])
-        others = [(c, b[c]) for c in b.schema.names if c not in ("_text", "_spans")]
-        yield pa.RecordBatch.from_arrays(
-            [x for _, x in others] + [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, _SPANS)],
-            names=[c for c, _ in others] + ["_kept", "_removed", "_gone"],
-        )
+        yield pa.RecordBatch.from_arrays([b["_row"], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, _SPANS)], names=["_row", "_kept", "_removed", "_gone"])
 
 
 def dedup_substrings(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", buckets: int | None = None) -> DataFrame:
     """The columns of docs with repeated passages cut out of the text, and _removed (code points), _gone (byte spans)."""
     spans = later_runs(docs, text_col=text_col, id_col=id_col, buckets=buckets)
     by_doc = spans.groupBy("sid", "stext").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    keyed = docs.withColumn("_hash", F.xxhash64(text_col))
-    joined = keyed.join(by_doc, keyed[id_col].cast("long").eqNullSafe(F.col("sid")) & (F.col("_hash") == F.col("stext")), "left")
     others = [c for c in docs.columns if c != text_col]
-    rows = joined.select(*others, F.col(text_col).alias("_text"), "_spans")
-    schema = docs.select(*others).schema.add("_kept", "string").add("_removed", "long").add("_gone", SPANS)
-    out = rows.mapInArrow(_cut, schema)
-    return out.select(*[F.col("_kept").alias(c) if c == text_col else F.col(c) for c in docs.columns], "_removed", "_gone")
+    keyed = docs.select(whole_row(docs, others), F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"))
+    joined = keyed.join(by_doc, F.col("_id").eqNullSafe(F.col("sid")) & (F.col("_hash") == F.col("stext")), "left").select("_row", "_text", "_spans")
+    schema = T.StructType([joined.schema["_row"], T.StructField("_kept", T.StringType()), T.StructField("_removed", T.LongType()), T.StructField("_gone", SPANS)])
+    return joined.mapInArrow(_cut, schema).select(*unpacked(docs.columns, **{text_col: F.col("_kept")}), "_removed", "_gone")

@@ -32,9 +32,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Join condition in which null equals null."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def whole_row(docs: DataFrame, names: list[str] | None = None) -> Column:
+    """The named columns of docs (default: all) in one struct, so that no name of theirs can clash with ours."""
+    names = docs.columns if names is None else names
+    return F.struct(*[F.col(f"`{c}`") for c in names], F.lit(0).alias("_")).alias("_row")
+
+
+def unpacked(names: list[str], **replaced: Column) -> list[Column]:
+    """Columns out of ``whole_row``, some of them replaced."""
+    return [(replaced[c] if c in replaced else F.col("_row").getField(c)).alias(c) for c in names]

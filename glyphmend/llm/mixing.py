@@ -12,7 +12,7 @@ order, so a source with a third of all rows is never in one task; run totals (at
 
 Defined cases: null or empty text has size 0 and takes 0; null sources are one source, last
 in order; repeated rows are documents of their own; an empty table gives an empty result;
-further columns are kept by ``mix_schedule``.
+other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmend.llm.common import WORD_RE
+from glyphmend.llm.common import WORD_RE, unpacked, whole_row
 
 BUCKETS = 4096
 WEIGHTS = (5, 2, 1)
@@ -58,24 +58,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     )
 
 
-def _shuffled(docs: DataFrame, text_col: str, id_col: str, source_col: str, seed: str, buckets: int) -> DataFrame:
-    """_id, _src, _size, _key (the shuffle order) and _bucket (a run of it) beside the columns of docs."""
+def _shuffled(docs: DataFrame, text_col: str, id_col: str, source_col: str, seed: str, buckets: int, keep: list[str]) -> DataFrame:
+    """_row (the kept columns), _id, _src, _size, _key (the shuffle order) and _bucket (a run of it)."""
     key = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    return (
-        docs.withColumn("_id", F.col(id_col))
-        .withColumn("_src", F.col(source_col))
-        .withColumn("_size", word_count(F.col(text_col)))
-        .withColumn("_key", key)
-        .withColumn("_bucket", (F.conv(F.substring("_key", 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int"))
-    )
+    rows = docs.select(whole_row(docs, keep), F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), word_count(F.col(text_col)).alias("_size"), key.alias("_key"))
+    return rows.withColumn("_bucket", (F.conv(F.substring("_key", 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int"))
 
 
 def mix_positions(
     docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
-    weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix", buckets: int = BUCKETS,
+    weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix", buckets: int = BUCKETS, keep: list[str] | None = None,
 ) -> DataFrame:
-    """The columns of docs with _size, _source_size, _target, _start (words of the source before it), _nth (its place)."""
-    base = _shuffled(docs, text_col, id_col, source_col, seed, buckets)
+    """_row (the kept columns of docs, default all), _id, _src, _size, _source_size, _target, _start (words of the source before it), _nth (its place)."""
+    base = _shuffled(docs, text_col, id_col, source_col, seed, buckets, docs.columns if keep is None else keep)
     totals = base.groupBy("_src", "_bucket").agg(F.sum("_size").alias("_bsize"), F.count(F.lit(1)).alias("_bcount"))
     runs = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     source = Window.partitionBy("_src")
@@ -95,12 +90,12 @@ def mix_positions(
         .join(offsets, F.col("_src").eqNullSafe(F.col("_osrc")) & (F.col("_bucket") == F.col("_obucket")))
         .withColumn("_start", F.col("_boffset") + F.col("_in"))
         .withColumn("_nth", F.col("_bnth") + F.col("_rn"))
-        .drop("_osrc", "_obucket", "_boffset", "_bnth", "_in", "_rn", "_key", "_bucket", "_id")
+        .drop("_osrc", "_obucket", "_boffset", "_bnth", "_in", "_rn", "_key", "_bucket")
     )
 
 
 def mix_schedule(docs: DataFrame, *, max_epochs: int = MAX_EPOCHS, **options) -> DataFrame:
-    """One row for each occurrence: the columns of docs, _epoch, _finish (virtual time), _take (its words before the cut).
+    """One row for each occurrence: the columns of mix_positions, _epoch, _finish (virtual time), _take (its words before the cut).
 
     The occurrence in service when the budget runs out is cut there; later ones have _take 0, and every
     document keeps at least its first occurrence, so that none is lost from sight.
@@ -123,6 +118,7 @@ def weighted_fair_mix(docs: DataFrame, *, text_col: str = "text", **options) ->
     """
     cols = docs.columns
     mixed = mix_schedule(docs, text_col=text_col, **options).where("_take > 0")
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD_RE), 0), F.lit(1), F.col("_take").cast("int")), " ")
-    cut = mixed.withColumn(text_col, F.when(F.col("_take") < F.col("_size"), first).otherwise(F.col(text_col)))
-    return cut.orderBy("_finish", "_src", "_nth", "_epoch").select(*cols)
+    text = F.col("_row").getField(text_col)
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD_RE), 0), F.lit(1), F.col("_take").cast("int")), " ")
+    cut = F.when(F.col("_take") < F.col("_size"), first).otherwise(text)
+    return mixed.orderBy("_finish", "_src", "_nth", "_epoch").select(*unpacked(cols, **{text_col: cut}))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmend.llm import toxicity
 from glyphmend.llm.chunks import dedup_substrings
 from glyphmend.llm.common import table
 from glyphmend.llm.mixing import MAX_EPOCHS, WEIGHTS, mix_schedule
+from glyphmend.llm.packing import pack_documents
 from glyphmend.llm.sharding import minimax_shards
 from glyphmend.llm.simhash import near_duplicates
 from glyphmend.llm.urls import CONTRACT_RULES, judge_sql, judge_urls
@@ -20,7 +22,7 @@ SHARDS = 24
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return (
-        mix_schedule(docs).groupBy("_src", "_nth", "doc_id")
+        mix_schedule(docs, keep=[]).groupBy("_src", "_nth", F.col("_id").alias("doc_id"))
         .agg(F.first("_size").alias("size"), F.first("_source_size").alias("source_size"), F.first("_target").alias("target"), F.sum("_take").alias("taken"))
         .select("doc_id", F.col("_src").alias("source"), "size", "source_size", "target", "taken")
     )
@@ -69,6 +71,30 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.col("_removed").alias("removed_chars"), F.col("_gone").alias("removed_spans"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer or default_tokenizer())
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+FOLDS = 5
+
+
+def fold(c: Column) -> Column:
+    return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold(F.col("doc_id")) != 0)
+    scored = toxicity.score_texts(docs, *toxicity.train(docs, labels), keep=["doc_id"])
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minimax_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -80,6 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_url_filter": op5_url_filter,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_packing": op7_packing,
+        "op9_toxicity": op9_toxicity,
         "op10_sharding": op10_sharding,
     }
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmend.llm.common import checkpointed
+from glyphmend.llm.common import checkpointed, unpacked, whole_row
 from glyphmend.llm.components import components
 
 BITS = 64
@@ -225,6 +225,6 @@ def drop_near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str
     """The columns of docs for one row of each group: that of the smallest id (of repeated rows, one)."""
     found = near_duplicates(docs, text_col=text_col, id_col=id_col, **options)
     heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_fp").agg(F.min("text_hash").alias("_khash"), F.first("component_id").alias("_kid"))
-    rows = docs.withColumn("_hash", F.xxhash64(text_col))
-    kept = rows.join(heads, rows[id_col].eqNullSafe(F.col("_kid")) & (F.col("_hash") == F.col("_khash")), "left_semi")
-    return kept.dropDuplicates([id_col, "_hash"]).select(*docs.columns)
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
+    kept = rows.join(heads, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_hash") == F.col("_khash")), "left_semi")
+    return kept.dropDuplicates(["_id", "_hash"]).select(*unpacked(docs.columns))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glyphmend.llm import toxicity
 from glyphmend.llm.chunks import dedup_substrings
 from glyphmend.llm.common import table
+from glyphmend.llm.extract import extract_main_text
 from glyphmend.llm.mixing import MAX_EPOCHS, WEIGHTS, mix_schedule
 from glyphmend.llm.packing import pack_documents
 from glyphmend.llm.sharding import minimax_shards
@@ -81,6 +82,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 FOLDS = 5
 
 
@@ -107,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": op5_url_filter,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_packing": op7_packing,
+        "op8_html_extraction": op8_html_extraction,
         "op9_toxicity": op9_toxicity,
         "op10_sharding": op10_sharding,
     }

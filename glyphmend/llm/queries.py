@@ -11,8 +11,10 @@ from glyphmend.llm import toxicity
 from glyphmend.llm.chunks import dedup_substrings
 from glyphmend.llm.common import table
 from glyphmend.llm.extract import extract_main_text
+from glyphmend.llm.kmeans_tree import approximate_neighbours
 from glyphmend.llm.mixing import MAX_EPOCHS, WEIGHTS, mix_schedule
 from glyphmend.llm.packing import pack_documents
+from glyphmend.llm.pivots import exact_top_k
 from glyphmend.llm.sharding import minimax_shards
 from glyphmend.llm.simhash import near_duplicates
 from glyphmend.llm.urls import CONTRACT_RULES, judge_sql, judge_urls
@@ -20,6 +22,27 @@ from glyphmend.llm.urls import CONTRACT_RULES, judge_sql, judge_urls
 SHARDS = 24
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+OP1_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5"""
+
+
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return approximate_neighbours(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return (
@@ -107,6 +130,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_exact_top_k": op1_exact_top_k,
+        "op2_neighbours": op2_neighbours,
         "op3_mixing": op3_mixing,
         "op4_simhash": op4_simhash,
         "op5_url_filter": op5_url_filter,
@@ -119,4 +144,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op5_url_filter": judge_sql(CONTRACT_RULES)}
+    return {"op1_exact_top_k": OP1_SQL, "op3_mixing": OP3_SQL, "op5_url_filter": judge_sql(CONTRACT_RULES)}

@@ -52,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
         .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(onward))
         .withColumn("capped", F.col("cap") <= F.col("level") * F.col("w"))
     )
-    level = F.min(F.when(~F.col("capped"), F.col("level"))).over(every)
+    level = F.max(F.when(~F.col("capped"), F.col("level"))).over(every)
     return rates.withColumn("final_level", level).select(
         "src", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("final_level") * F.col("w")).alias("target")
     )

@@ -69,7 +69,7 @@ leveled as (
 capped as (select *, cap <= level * w as is_capped from leveled),
 targets as (
   select source, source_size,
-         case when is_capped then cap else w * min(case when not is_capped then level end) over () end as target
+         case when is_capped then cap else w * max(case when not is_capped then level end) over () end as target
   from capped),
 placed as (
   select s.doc_id, s.source, s.size, t.source_size, t.target,

@@ -2,7 +2,7 @@
 
 Features: presence of hashed character n-grams (``ORDERS``) in the whole lower-cased text, white space
 collapsed.  Training, on a bounded sample of labelled rows (``MAX_ROWS`` a class, by order of a hash, in
-one task): log-count ratios r of every n-gram, the ``KEEP`` n-grams of largest |r| weighted by support,
+one task): log-count ratios r of every n-gram, the ``KEEP`` n-grams of largest |r| in its standard errors,
 then an L2-regularised logistic regression on the features scaled by r.  The model is a table of ``SLOTS``
 float32 weights, broadcast; scoring is one map over the texts, without a shuffle.
 
@@ -14,6 +14,7 @@ labels: the larger label counts; very long texts are read whole, in pieces; othe
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ MAX_ROWS = 6000
 #: N-grams that get a weight.
 KEEP = 30_000
 LEAST_DOCS = 4
+#: Standard errors from zero that an n-gram's log-count ratio must be.
+LEAST_Z = 4.0
 PIECE = 1 << 20
 _PRIMES = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393, 2869860233], dtype=np.uint64).astype(np.uint32)
 
@@ -75,9 +78,10 @@ def fit(texts: list[str | None], toxic: np.ndarray, *, keep: int = KEEP, l2: flo
         counts[int(y), r] += 1
     ratio = np.log((counts[1] + 1) / (ones + 2)) - np.log((counts[0] + 1) / (n - ones + 2))
     seen = counts.sum(axis=0)
-    worth = np.where(seen >= LEAST_DOCS, np.abs(ratio) * np.sqrt(seen), 0.0)
+    # In standard errors of the log ratio: what chance alone gives to rare n-grams is left out.
+    worth = np.where(seen >= LEAST_DOCS, np.abs(ratio) / np.sqrt(1 / (counts[0] + 1) + 1 / (counts[1] + 1)), 0.0)
     chosen = np.sort(np.argsort(-worth, kind="stable")[:keep])
-    chosen = chosen[worth[chosen] > 0]
+    chosen = chosen[worth[chosen] >= LEAST_Z]
     column = np.full(SLOTS, -1, dtype=np.int32)
     column[chosen] = np.arange(len(chosen))
     rows = [c[c >= 0] for c in (column[r] for r in rows)]
@@ -86,7 +90,9 @@ def fit(texts: list[str | None], toxic: np.ndarray, *, keep: int = KEEP, l2: flo
     which = np.repeat(np.arange(n), np.diff(at))
     scale = ratio[chosen]
     y = toxic.astype(float)
-    share = np.where(y == 1, 0.5 / ones, 0.5 / (n - ones))
+    # Half-way between equal classes and equal rows, so that a rare class counts without false alarms.
+    mass = math.sqrt(ones / (n - ones))
+    share = np.where(y == 1, mass / (1 + mass) / ones, 1 / (1 + mass) / (n - ones))
     w, b = np.zeros(len(chosen)), 0.0
     velocity, vb = np.zeros(len(chosen)), 0.0
     # Accelerated gradient; the step follows the largest curvature, found by power iteration.

@@ -47,7 +47,7 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def bounded_sample(rows: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, matrix) of at most count rows, by order of a hash."""
     got = rows.orderBy(F.xxhash64("id"), "id").limit(count).collect()
-    return np.array([r["id"] for r in got], dtype=np.int64), np.array([r["v"] for r in got], dtype=np.float64).reshape(len(got), -1)
+    return np.array([r["id"] for r in got], dtype=np.int64), np.array([r["v"] for r in got], dtype=np.float64).reshape(len(got), len(got[0]["v"]) if got else 1)
 
 
 def one_query_each(rows: DataFrame, every: int) -> DataFrame:

@@ -1,9 +1,595 @@
-"""Catalogue of the restoration engine's queries and their DuckDB SQL."""
+"""Catalogue of the restoration engine's queries, each over its whole table, and their DuckDB SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from glyphmend.functions import letters as L
+from glyphmend.functions import sentences as S
+from glyphmend.functions import words as W
+from glyphmend.operators import analysis, chat, corpus, markup, scoring, spelling, tagger
+from glyphmend.operators import context as ctx
+from glyphmend.operators import lexicon as lex
+from glyphmend.operators import restore as R
+from glyphmend.plans import sql as Q
+from glyphmend.streaming.limits import limited
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+#: Settings of the registered queries that suit tables of this size better than the engine's defaults.
+VOCABULARY, STEMS = 2000, 20
+
+
+def query(sql: str | None = None, *needed: str, name: str | None = None):
+    def register(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            SQL[key] = Q.query(sql, *needed)
+        return f
+
+    return register
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source")
+
+
+def toks(spark: SparkSession, d: str) -> DataFrame:
+    return W.tokens(docs(spark, d), id_col="doc_id", text_col="text")
+
+
+def lexicon(spark: SparkSession, d: str) -> DataFrame:
+    return lex.build_lexicon(toks(spark, d))
+
+
+def typed(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("doc_id", "text", L.strip_diacritics(F.col("text")).alias("typed"))
+
+
+def context_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """lexicon, forms, sides (pruned), vocabulary"""
+    words = lexicon(spark, d)
+    vocab = ctx.neighbour_vocabulary(words, VOCABULARY)
+    forms, sides = ctx.train(W.with_neighbours(toks(spark, d), id_col="doc_id"), lex.ambiguous_keys(words), vocab)
+    return words, forms, ctx.prune(sides), vocab
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    words = lexicon(spark, d)
+    near = W.with_neighbours(toks(spark, d), id_col="doc_id").join(lex.ambiguous_keys(words).select("key"), "key", "left_semi")
+    return ctx.as_features(near, ctx.neighbour_vocabulary(words, VOCABULARY))
+
+
+def word_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, pos, expected, produced, key under the lexicon restorer."""
+    rows = W.pieces(typed(spark, d), id_col="doc_id", text_col="typed").withColumn("key", L.key_of(F.col("word"))).where("word is not null")
+    out = R.LexiconRestorer(lexicon(spark, d)).words(rows).select("doc_id", "pos", F.col("out").alias("produced"))
+    return toks(spark, d).select("doc_id", "pos", F.col("word").alias("expected"), "key").join(out, ["doc_id", "pos"])
+
+
+def restored_pairs(spark: SparkSession, d: str) -> DataFrame:
+    t = typed(spark, d)
+    out = R.LexiconRestorer(lexicon(spark, d)).transform(t, id_col="doc_id", text_col="typed")
+    return out.join(t.select("doc_id", "text"), "doc_id").select("doc_id", F.col("doc_id").alias("grp"), F.col("text").alias("expected"), F.col("restored").alias("produced"))
+
+
+# Characters
+
+
+@query(f"select doc_id, md5({Q.lower('text')}) as lowered, md5({Q.strip('text')}) as stripped, length({Q.strip('text')})::bigint as n from documents")
+def az_fold(spark, d):
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", F.md5(L.az_lower(t)).alias("lowered"), F.md5(L.strip_diacritics(t)).alias("stripped"), F.length(L.strip_diacritics(t)).cast("long").alias("n"))
+
+
+@query(f"select {Q.upper('word')} as word, count(*) as n from tok group by 1", "tok")
+def az_upper_words(spark, d):
+    return toks(spark, d).groupBy(L.az_upper(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select lang, sum(len(regexp_extract_all(text, '[cegiosuCEGIOSU]')))::bigint as foldable, sum(length(text))::bigint as chars from documents group by lang")
+def foldable_density(spark, d):
+    return docs(spark, d).groupBy("lang").agg(F.sum(L.foldable_count(F.col("text"))).cast("long").alias("foldable"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query(f"select doc_id, len(regexp_extract_all(text, '[{L.ACCENTED}]'))::bigint as marks, len(regexp_extract_all({Q.strip('text')}, '[{L.PLAIN}]'))::bigint as foldable from documents")
+def char_labels(spark, d):
+    labels = L.to_labels(F.col("text"))
+    return docs(spark, d).select("doc_id", F.aggregate(labels, F.lit(0), lambda a, x: a + x).cast("long").alias("marks"), F.size(L.foldable_positions(L.strip_diacritics(F.col("text")))).cast("long").alias("foldable"))
+
+
+@query("select doc_id, true as same from documents")
+def label_roundtrip(spark, d):
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", (L.apply_labels(L.strip_diacritics(t), L.to_labels(t)) == t).alias("same"))
+
+
+@query(f"""select kind, count(*) as n from (select case when {Q.capitals('word')} then 'all capitals' when {Q.is_upper('substr(word, 1, 1)')} then
+    case when pos = 0 then 'capitalised, first word' else 'capitalised, mid-sentence' end else 'lowercase' end as kind from tok) group by kind""", "tok")
+def case_classes(spark, d):
+    return toks(spark, d).groupBy(L.case_of(F.col("word"), F.col("pos") == 0).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Words and sentences
+
+
+@query("""select doc_id, pos::bigint as pos, (ends - length(word))::bigint as start, ends::bigint as "end", word from (
+    select doc_id, pos, word, sum(length(gap) + coalesce(length(word), 0)) over (partition by doc_id order by pos rows unbounded preceding) as ends from (
+    select doc_id, unnest(range(len(gs))) as pos, unnest(list_concat(ws, [null])) as word, unnest(gs) as gap from (
+    select doc_id, regexp_extract_all(text, 'WORD') as ws, string_split_regex(text, 'WORD') as gs from documents))) where word is not null""".replace("WORD", Q.WORD))
+def word_spans(spark, d):
+    return W.spans(docs(spark, d), id_col="doc_id", text_col="text").select("doc_id", F.col("pos").cast("long").alias("pos"), "start", "end", "word")
+
+
+@query("select word, count(*) as n from tok group by word", "tok")
+def word_counts(spark, d):
+    return toks(spark, d).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select key, count(*) as n from tok group by key", "tok")
+def key_counts(spark, d):
+    return toks(spark, d).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select l, r, count(*) as n from near group by l, r", "near")
+def neighbour_pairs(spark, d):
+    return W.with_neighbours(toks(spark, d), id_col="doc_id").groupBy(F.col("left").alias("l"), F.col("right").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select doc_id, sent_pos, sentence from sent", "sent")
+def sentences(spark, d):
+    return S.sentences(docs(spark, d), id_col="doc_id", text_col="text").select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), "sentence")
+
+
+@query(f"select words, count(*) as n from (select len(regexp_extract_all(sentence, '{Q.WORD}'))::bigint as words from sent) group by words", "sent")
+def sentence_lengths(spark, d):
+    rows = S.sentences(docs(spark, d), id_col="doc_id", text_col="text")
+    return rows.groupBy(F.size(W.words_of(F.col("sentence"))).cast("long").alias("words")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select doc_id, sent_pos, sentence from norm where usable", "norm")
+def usable_sentences(spark, d):
+    return corpus.prepared(docs(spark, d), id_col="doc_id", text_col="text").where("usable").select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), "sentence")
+
+
+@query("select lang, count(*) as sentences, sum(usable::int)::bigint as usable from norm join documents using (doc_id) group by lang", "norm")
+def usable_by_lang(spark, d):
+    rows = corpus.prepared(docs(spark, d), id_col="doc_id", text_col="text").join(docs(spark, d).select("doc_id", "lang"), "doc_id")
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("sentences"), F.count_if("usable").alias("usable"))
+
+
+@query(f"select doc_id, {Q.bucket('doc_id::varchar')}::int as bucket, {Q.split_name('doc_id::varchar')} as split, {Q.split_name('doc_id::varchar', 10, 20)} as web_split from documents")
+def split_assignment(spark, d):
+    name = F.col("doc_id").cast("string")
+    return docs(spark, d).select("doc_id", S.bucket_of(name).alias("bucket"), S.split_name(name).alias("split"), S.split_name(name, 10, 20).alias("web_split"))
+
+
+@query("select split, doc_id, sent_pos, sentence from corpus", "corpus")
+def corpus_build(spark, d):
+    return corpus.build(docs(spark, d), id_col="doc_id", text_col="text").withColumn("sent_pos", F.col("sent_pos").cast("long"))
+
+
+@query("""select (select count(*) from documents) as articles, count(*) as sentences, sum(usable::int)::bigint as usable, (select count(*) from corpus) as kept,
+    (select count(*) from corpus where split = 'train') as kept_train, (select count(*) from corpus where split = 'dev') as kept_dev, (select count(*) from corpus where split = 'test') as kept_test from norm""", "norm", "corpus")
+def corpus_stats(spark, d):
+    return corpus.stats(docs(spark, d), id_col="doc_id", text_col="text")
+
+
+@query(f"""select reason, count(*) as n from (select case when reason is not null then reason when row_number() over (partition by low, reason is null order by doc_id, sent_pos) > 1 then 'duplicate'
+    else 'kept ' || split end as reason from (select n.*, case when not usable then 'prose filter' when split <> 'test' and {Q.count('sentence', chr(92) + 'p{L}')} >= 25 and not contains(low, 'ü') then 'no schwa'
+    when k.klow is not null then 'in the corpus' end as reason from (select *, {Q.lower('sentence')} as low, {Q.split_name('doc_id::varchar', 10, 20)} as split from norm) n
+    left join (select distinct {Q.lower('sentence')} as klow from corpus where doc_id % 7 = 0) k on k.klow = n.low)) group by reason""", "norm", "corpus")
+def web_drop_reasons(spark, d):
+    """The documents as web documents against a corpus of some of them; ü stands in for ə, which the tables lack."""
+    known = corpus.build(docs(spark, d), id_col="doc_id", text_col="text").where(F.col("doc_id") % 7 == 0)
+    return corpus.web_reasons(docs(spark, d), known, id_col="doc_id", text_col="text", letter="ü").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Lexicon
+
+
+@query("select key, form, n from lex", "lex")
+def lexicon_counts(spark, d):
+    return lexicon(spark, d).select("key", "form", "n")
+
+
+@query("select key, form, n, total::bigint as total, forms from best", "best")
+def lexicon_best(spark, d):
+    return lex.best_forms(lexicon(spark, d))
+
+
+@query("select key, forms from best where forms > 1", "best")
+def lexicon_multi(spark, d):
+    return lex.best_forms(lexicon(spark, d)).where("forms > 1").select("key", "forms")
+
+
+@query("select key, runner_up, total::bigint as total from ambiguous", "ambiguous")
+def lexicon_ambiguous(spark, d):
+    return lex.ambiguous_keys(lexicon(spark, d))
+
+
+@query("select key, form, n from lex where n >= 2", "lex")
+def lexicon_pruned(spark, d):
+    return lex.prune(lexicon(spark, d)).select("key", "form", "n")
+
+
+@query("select key, string_agg(form || ':' || n, ',' order by n desc, seen) as candidates from lex group by key", "lex")
+def lexicon_candidates(spark, d):
+    shown = F.array_join(F.transform("candidates", lambda x: F.concat(x["form"], F.lit(":"), x["n"].cast("string"))), ",")
+    return lex.candidates(lexicon(spark, d)).select("key", shown.alias("candidates"))
+
+
+@query("""select sum(n)::bigint as tokens, count(distinct key) as keys, (select count(distinct key) from lex where n >= 2) as keys_pruned, (select count(*) from amb) as ambiguous_keys,
+    round(sum(case when key in (select key from amb) then n else 0 end) / sum(n), 4) as ambiguous_share from lex""".replace(
+    "amb)", "(select key from (select key, n, row_number() over (partition by key order by n desc, seen) as rk, sum(n) over (partition by key) as total from lex where n >= 2) where rk = 2 and n >= 10 and n / total >= 0.05))"), "lex")
+def lexicon_stats(spark, d):
+    return lex.stats(toks(spark, d), lexicon(spark, d))
+
+
+@query("select b.key, b.form, b.total::bigint as total from best b join ambiguous a on a.key = b.key order by b.total desc, b.key limit 25", "best", "ambiguous")
+def top_ambiguous(spark, d):
+    words = lexicon(spark, d)
+    return lex.best_forms(words).join(lex.ambiguous_keys(words).select("key"), "key", "left_semi").orderBy(F.desc("total"), "key").limit(25).select("key", "form", "total")
+
+
+@query("select key, form, n from best where forms = 1 and n >= 2 and form <> key", "best")
+def confident_lexicon(spark, d):
+    return lex.confident(lexicon(spark, d))
+
+
+@query("select key, form from best where n / total >= 0.95", "best")
+def dominant_spellings(spark, d):
+    return lex.dominant_forms(lexicon(spark, d))
+
+
+# Context
+
+
+@query("select key, total::bigint as total from vocab", "vocab")
+def neighbour_vocab(spark, d):
+    return ctx.neighbour_vocabulary(lexicon(spark, d), VOCABULARY)
+
+
+@query("select key, form, side, feature, n from cside", "cside")
+def context_counts(spark, d):
+    words = lexicon(spark, d)
+    near = W.with_neighbours(toks(spark, d), id_col="doc_id")
+    return ctx.train(near, lex.ambiguous_keys(words), ctx.neighbour_vocabulary(words, VOCABULARY))[1].select("key", "form", "side", "feature", "n")
+
+
+@query("select key, form, side, feature, n from ckept", "ckept")
+def context_topk(spark, d):
+    return context_model(spark, d)[2].select("key", "form", "side", "feature", "n")
+
+
+@query("select key, l, r, form, round(score, 6) as score from scored", "scored")
+def context_scores(spark, d):
+    _, forms, sides, _ = context_model(spark, d)
+    out = ctx.scores(_asked(spark, d), forms, sides, VOCABULARY + 3)
+    return out.select("key", F.col("left").alias("l"), F.col("right").alias("r"), "form", F.round("score", 6).alias("score"))
+
+
+@query("select key, l, r, form from cbest", "cbest")
+def context_best(spark, d):
+    _, forms, sides, _ = context_model(spark, d)
+    return ctx.best(ctx.scores(_asked(spark, d), forms, sides, VOCABULARY + 3)).select("key", F.col("left").alias("l"), F.col("right").alias("r"), "form")
+
+
+# Restoration
+
+
+@query(f"select doc_id, md5({Q.strip('text')}) as restored from documents")
+def restore_identity(spark, d):
+    return R.Identity().transform(typed(spark, d), id_col="doc_id", text_col="typed").select("doc_id", F.md5("restored").alias("restored"))
+
+
+@query("select doc_id, md5(restored) as restored from restored", "restored")
+def restore_lexicon(spark, d):
+    return R.LexiconRestorer(lexicon(spark, d)).transform(typed(spark, d), id_col="doc_id", text_col="typed").select("doc_id", F.md5("restored").alias("restored"))
+
+
+@query(f"""select t.doc_id, md5(string_agg(t.gap || coalesce({Q.applied('t.word', 'coalesce(c.form, b.form)')}, ''), '' order by t.pos)) as restored
+    from ttok t left join best b on b.key = t.key
+    left join (select f.doc_id, f.pos, c.form from feat f join cbest c on c.key = f.key and c.l = f.l and c.r = f.r) c on c.doc_id = t.doc_id and c.pos = t.pos group by t.doc_id""", "ttok", "best", "feat", "cbest")
+def restore_context(spark, d):
+    words, forms, sides, vocab = context_model(spark, d)
+    out = R.ContextRestorer(words, forms, sides, vocab, VOCABULARY + 3).transform(typed(spark, d), id_col="doc_id", text_col="typed")
+    return out.select("doc_id", F.md5("restored").alias("restored"))
+
+
+@query()
+def restore_hybrid(spark, d):
+    model = tagger.train(docs(spark, d), id_col="doc_id", text_col="text")
+    out = R.HybridRestorer(lambda t: tagger.tag(t, model), lexicon(spark, d)).transform(typed(spark, d), id_col="doc_id", text_col="typed")
+    return out.select("doc_id", F.md5("restored").alias("restored"))
+
+
+@query("""select doc_id, start::bigint as start, (start + length(word))::bigint as "end", word as typed, out as "to" from (
+    select *, sum(length(gap) + coalesce(length(word), 0)) over (partition by doc_id order by pos rows unbounded preceding) - length(word) as start from lexout) where word <> out""", "lexout")
+def restore_changes(spark, d):
+    out = R.LexiconRestorer(lexicon(spark, d)).transform(typed(spark, d), id_col="doc_id", text_col="typed")
+    return R.changes(out, id_col="doc_id", text_col="typed")
+
+
+# Scores
+
+
+TALLY = """select p.doc_id as grp, count(*) as words, sum((expected = produced)::int)::bigint as correct, sum((a.key is not null)::int)::bigint as ambiguous,
+    sum((a.key is not null and expected = produced)::int)::bigint as ambiguous_correct from pair p left join ambiguous a on a.key = p.key group by 1"""
+
+
+@query(f"""select d.doc_id as grp, coalesce(words, 0)::bigint as words, coalesce(correct, 0)::bigint as correct, coalesce(ambiguous, 0)::bigint as ambiguous, coalesce(ambiguous_correct, 0)::bigint as ambiguous_correct,
+    length(d.text)::bigint as chars, list_sum(list_transform(list_zip(string_split(d.text, ''), string_split(r.restored, '')), lambda x: (x[1] <> x[2])::int))::bigint as wrong_chars, (d.text = r.restored)::int::bigint as exact
+    from documents d join restored r using (doc_id) left join ({TALLY}) t on t.grp = d.doc_id""", "restored", "pair", "ambiguous")
+def scores_by_group(spark, d):
+    out = scoring.tallies(restored_pairs(spark, d), lexicon(spark, d), id_col="doc_id")
+    return out.select("grp", "words", "correct", "ambiguous", "ambiguous_correct", "chars", "wrong_chars", "exact")
+
+
+@query("""select count(*) as words, sum((expected = produced)::int)::bigint as correct, round(sum((expected = produced)::int) / count(*), 4) as word_accuracy,
+    sum((a.key is not null)::int)::bigint as ambiguous, round(sum((a.key is not null and expected = produced)::int) / sum((a.key is not null)::int), 4) as ambiguous_accuracy
+    from pair p left join ambiguous a on a.key = p.key""", "pair", "ambiguous")
+def rates(spark, d):
+    out = scoring.rates(scoring.total(scoring.tallies(restored_pairs(spark, d), lexicon(spark, d), id_col="doc_id")))
+    return out.select("words", "correct", "word_accuracy", "ambiguous", "ambiguous_accuracy")
+
+
+@query()
+def bootstrap_intervals(spark, d):
+    words = lexicon(spark, d)
+    t = typed(spark, d)
+    plain = t.select("doc_id", F.col("doc_id").alias("grp"), F.col("text").alias("expected"), F.col("typed").alias("produced"))
+    rows = scoring.tallies(plain, words, id_col="doc_id").withColumn("system", F.lit("identity")).unionByName(scoring.tallies(restored_pairs(spark, d), words, id_col="doc_id").withColumn("system", F.lit("lexicon")))
+    return spark.createDataFrame(scoring.bootstrap(rows, ["identity", "lexicon"]), "what string, rate string, low double, high double")
+
+
+@query(f"select doc_id, pos::bigint as pos, {Q.key('expected')} as key, expected, produced from pair where expected <> produced order by doc_id, pos limit 200", "pair")
+def word_errors(spark, d):
+    return scoring.first_errors(word_pairs(spark, d), id_col="doc_id").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"select count(*) as total, coalesce(sum((expected = produced)::int), 0)::bigint as correct from pair where {Q.capitals('expected')} and regexp_matches(key, '[cegiosu]')", "pair")
+def caps_accuracy(spark, d):
+    return analysis.capitals(word_pairs(spark, d))
+
+
+@query(f"""select kind, count(*) as words, sum(wrong::int)::bigint as errors from (select wrong, unnest(list_filter([
+    case when {Q.capitals('expected')} then 'all capitals' when {Q.is_upper('substr(expected, 1, 1)')} then case when pos = 0 then 'capitalised, first word' else 'capitalised, mid-sentence' end else 'lowercase' end,
+    case when b.key is null then 'never seen in training' when a.key is not null then 'ambiguous' end,
+    case when wrong and b.n / b.total >= 0.95 and b.form = {Q.lower('produced')} then 'wrote the usual spelling' end, case when wrong then 'all' end], lambda x: x is not null)) as kind
+    from (select *, expected <> produced as wrong from pair where regexp_matches(key, '[cegiosu]')) p left join best b on b.key = p.key left join ambiguous a on a.key = p.key) group by kind""", "pair", "best", "ambiguous")
+def error_kinds(spark, d):
+    return analysis.error_kinds(word_pairs(spark, d), lexicon(spark, d))
+
+
+@query(f"select {Q.lower('expected')} as expected, {Q.lower('produced')} as produced, count(*) as n from pair where expected <> produced and regexp_matches(key, '[cegiosu]') group by 1, 2 order by n desc, 1, 2 limit 50", "pair")
+def top_mistakes(spark, d):
+    return analysis.mistakes(word_pairs(spark, d))
+
+
+@query("""select share, count(*) as ambiguous, sum((expected = produced)::int)::bigint as correct from pair p join (select key, n / total as part from ranked where rk = 2 and n >= 10) k on k.key = p.key
+    join (select unnest([0.01, 0.02, 0.05, 0.1, 0.2])::double as share) s on k.part >= s.share group by share""", "pair", "ranked")
+def threshold_sweep(spark, d):
+    return analysis.threshold_sweep(word_pairs(spark, d), lexicon(spark, d))
+
+
+@query(f"""select {Q.key('word')} as key, word, count(*) as n from (select unnest(regexp_extract_all(title, '{Q.WORD}')) as word from (select regexp_extract(html, '<title>([^<]*)', 1) as title from pages))
+    where {Q.is_upper('substr(word, 1, 1)')} and regexp_matches({Q.key('word')}, '[cegiosu]') group by 1, 2""")
+def title_names(spark, d):
+    return analysis.title_names(_titles(spark, d), title_col="title")
+
+
+def _titles(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select(F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+
+
+@query(f"select expected, produced, count(*) as n from pair where pos > 0 and {Q.is_upper('substr(expected, 1, 1)')} and not {Q.capitals('expected')} group by 1, 2", "pair")
+def capitalised_words(spark, d):
+    return analysis.capitalised(word_pairs(spark, d))
+
+
+@query()
+def name_rules(spark, d):
+    return analysis.name_rules(analysis.capitalised(word_pairs(spark, d)), analysis.title_names(_titles(spark, d), title_col="title"), lexicon(spark, d))
+
+
+# Text statistics
+
+
+@query(f"select letter, count(*) as n from (select unnest(string_split({Q.lower('text')}, '')) as letter from documents) where regexp_matches(letter, '\\p{{L}}') group by letter")
+def letter_histogram(spark, d):
+    return analysis.letter_histogram(docs(spark, d), text_col="text")
+
+
+@query(f"""select *, round(words / sentences, 6) as words_per_sentence, round(missing / letters, 6) as missing_share from (select count(*) as sentences, sum({Q.count('sentence', Q.WORD)})::bigint as words,
+    sum({Q.count(Q.lower('sentence'), chr(92) + 'p{L}')})::bigint as letters, sum({Q.count(Q.lower('sentence'), '[çəğıöşü]')})::bigint as missing, sum({Q.count(Q.lower('sentence'), 'ə')})::bigint as schwa from sent)""", "sent")
+def text_stats(spark, d):
+    return analysis.text_stats(S.sentences(docs(spark, d), id_col="doc_id", text_col="text"), text_col="sentence")
+
+
+@query(f"select ch, (row_number() over (order by ch) + 1)::int as id, n from (select ch, count(*) as n from (select unnest(string_split({Q.strip('text')}, '')) as ch from documents) where ch <> '' group by ch) where n >= 20")
+def char_vocab(spark, d):
+    return tagger.char_vocabulary(docs(spark, d), text_col="text")
+
+
+# Tagger
+
+
+@query("""select doc_id, i::int as nth, (i * 224)::int as start, least(i * 224 + 256, n)::int as "end", (case when i = 0 then 0 else i * 224 + 16 end)::int as commit_start, (case when i = last then n else i * 224 + 240 end)::int as commit_end
+    from (select doc_id, n, last, unnest(range(last + 1)) as i from (select doc_id, length(text) as n, greatest(ceil((length(text) - 256) / 224), 0)::int as last from documents))""")
+def tagger_windows(spark, d):
+    rows = docs(spark, d).select("doc_id", F.posexplode(tagger.window_bounds(F.length("text"))).alias("nth", "w"))
+    return rows.select("doc_id", "nth", "w.start", "w.end", "w.commit_start", "w.commit_end")
+
+
+CHARS = f"""chars as materialized (select doc_id, plc, substr(p, plc + 1, 9) as around, label from (select doc_id, p, unnest(range(len(cs))) as plc, unnest(cs) as c, unnest(list_transform(list_zip(cs, ts), lambda x: (x[1] <> x[2])::int)) as label
+    from (select doc_id, '    ' || {Q.key('text')} || '    ' as p, string_split({Q.strip('text')}, '') as cs, string_split(text, '') as ts from documents where text <> '') where length(p) = len(cs) + 8) where contains('{L.PLAIN}', c)),
+    model as materialized (select radius, substr(around, 5 - radius, 2 * radius + 1) as ctx, count(*) as seen, sum(label)::bigint as marked from chars cross join (select unnest([1, 2, 3, 4])::int as radius) group by 1, 2 having count(*) >= 3)"""
+
+
+@query(f"with {CHARS} select radius, ctx, seen, marked from model")
+def tagger_model(spark, d):
+    return tagger.train(docs(spark, d), id_col="doc_id", text_col="text")
+
+
+@query(f"""with {CHARS} select count(*) as positions, sum(((coalesce(p, 0) > 0.5)::int = label)::int)::bigint as correct from chars c left join (
+    select around, max_by(marked / seen, m.radius) as p from (select distinct around from chars) a cross join (select unnest([1, 2, 3, 4])::int as radius) r
+    join model m on m.radius = r.radius and m.ctx = substr(around, 5 - r.radius, 2 * r.radius + 1) group by around) w on w.around = c.around""")
+def tagger_decisions(spark, d):
+    model = tagger.train(docs(spark, d), id_col="doc_id", text_col="text")
+    return tagger.decisions(tagger.probabilities(docs(spark, d), model, id_col="doc_id", text_col="text"))
+
+
+@query()
+def unsure_letters(spark, d):
+    model = tagger.train(docs(spark, d), id_col="doc_id", text_col="text")
+    found = tagger.probabilities(typed(spark, d).select("doc_id", "typed"), model, id_col="doc_id", text_col="typed")
+    close = (F.col("probability") > 0.1) & (F.col("probability") < 0.9)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("decided"), F.count_if(close).alias("hesitant"), F.min_by("at", F.struct(F.abs(F.col("probability") - 0.5), "at")).alias("closest"))
+
+
+# Spelling
+
+
+def vocabulary(spark, d):
+    words = spelling.vocabulary(lexicon(spark, d))
+    return words, spelling.suffixes(words, min_stems=STEMS)
+
+
+ENDINGS = f"""endings as materialized (select coalesce(f.ending, e.ending) as ending, stems from (select ending, count(*) as stems from cuts where stem in (select key from known) group by ending having count(*) >= {STEMS}) f
+    full join (select unnest([{", ".join(f"'{e}'" for e in spelling.PERSONAL_ENDINGS)}]) as ending) e on e.ending = f.ending)"""
+
+
+@query()
+def suffixes(spark, d):
+    return vocabulary(spark, d)[1]
+
+
+SQL["suffixes"] = Q.query("", "cuts", "known").rstrip() + f", {ENDINGS} select ending, stems from endings"
+UNKNOWN_CUTS = "ucuts as materialized (select key, substr(key, 1, c) as stem, substr(key, c + 1) as ending from (select key, unnest(range(4, length(key))) as c from words where n < 5 and length(key) > 4)), plaus as materialized (select distinct key from ucuts where stem in (select key from known) and ending in (select ending from endings))"
+
+
+@query()
+def plausible_keys(spark, d):
+    words, endings = vocabulary(spark, d)
+    return spelling.plausible(words.where("n < 5"), words, endings)
+
+
+SQL["plausible_keys"] = Q.query("", "cuts", "known").rstrip() + f", {ENDINGS}, {UNKNOWN_CUTS} select key from plaus"
+#: Strings one edit from the keys that are known but rare, which is where the checker looks for stronger words.
+EDITS = """rare as materialized (select key, n from words where n >= 5 and n < 20 and length(key) >= 3),
+    places as (select key, n, unnest(range(length(key) + 1)) as i from rare),
+    edits as materialized (select key, n, substr(key, 1, i) || substr(key, i + 2) as e from places where i < length(key)
+    union select key, n, substr(key, 1, i) || substr(key, i + 2, 1) || substr(key, i + 1, 1) || substr(key, i + 3) from places where i < length(key) - 1
+    union select key, n, substr(key, 1, i) || ch || substr(key, i + 2) from places cross join alpha where i < length(key) and ch <> substr(key, i + 1, 1)
+    union select key, n, substr(key, 1, i) || ch || substr(key, i + 1) from places cross join alpha)"""
+
+
+@query()
+def edits1_hits(spark, d):
+    words, _ = vocabulary(spark, d)
+    rare = words.where("n >= 5 and n < 20 and length(key) >= 3").select("key", F.explode(spelling.edits1(F.col("key"))).alias("near"))
+    return rare.join(words.where("n >= 5").select(F.col("key").alias("near"), F.col("n").alias("near_n")), "near").select("key", "near", "near_n")
+
+
+SQL["edits1_hits"] = Q.query("", "alpha", "known").rstrip() + f", {EDITS} select e.key, e.e as near, k.n::bigint as near_n from edits e join known k on k.key = e.e"
+
+
+@query()
+def suspicious_keys(spark, d):
+    words, endings = vocabulary(spark, d)
+    return spelling.suspicious(words, words, endings)
+
+
+SQL["suspicious_keys"] = (
+    Q.query("", "alpha", "cuts", "known").rstrip() + f", {ENDINGS}, {UNKNOWN_CUTS}, {EDITS} select key, n::bigint as n from words where n < 5 and length(key) >= 3 and key not in (select key from plaus)"
+    " union all select distinct e.key, e.n::bigint from edits e join known k on k.key = e.e where k.n >= 100 * e.n"
+)
+
+
+@query()
+def word_splits(spark, d):
+    words, _ = vocabulary(spark, d)
+    known = words.where("n >= 5")
+    rows = spelling._splits(words.where("n < 5").select("key", F.col("key").alias("joined")), known)
+    return rows.select("key", "first", "second")
+
+
+SQL["word_splits"] = Q.query("", "known").rstrip() + """, sp as (select key, substr(key, 1, c) as a, substr(key, c + 1) as b from (select key, unnest(range(2, length(key) - 1)) as c from words where n < 5 and length(key) >= 4))
+    select key, a as "first", b as "second" from sp where a in (select key from known) and b in (select key from known)"""
+
+
+@query()
+def spell_candidates(spark, d):
+    """Corrections at one edit, or one split, of the keys that look misspelt."""
+    words, endings = vocabulary(spark, d)
+    return spelling.candidates(spelling.suspicious(words, words, endings), words, distance=1).withColumn("words", F.array_join("words", " "))
+
+
+@query()
+def false_alarm_rates(spark, d):
+    words, endings = vocabulary(spark, d)
+    return spelling.false_alarms(docs(spark, d), words, endings, id_col="doc_id", text_col="text")
+
+
+# Markup, chat, limits
+
+
+def _clean_sql(x: str) -> str:
+    for pattern, replacement in markup.STEPS:
+        flags = "g" + ("i" if "i" in pattern[:6] and pattern.startswith("(?") and "i" in pattern[2 : pattern.index(")")] else "") + ("s" if pattern.startswith("(?") and "s" in pattern[2 : pattern.index(")")] and not pattern.startswith("(?:") else "") + ("m" if pattern.startswith(("(?md", "(?imd")) else "")
+        body = pattern[pattern.index(")") + 1 :] if pattern.startswith(("(?i", "(?s", "(?m")) else pattern
+        body = ("(?m)" if "m" in flags else "") + body
+        x = f"regexp_replace({x}, '{body.replace(chr(39), chr(39) * 2)}', '{replacement.replace('$1', chr(92) + '1')}', '{flags.replace('m', '')}')"
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"select page_id, md5({_clean_sql('html')}) as cleaned from pages")
+def html_clean(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.md5(markup.clean(F.col("html"))).alias("cleaned"))
+
+
+def messages(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.col("role").alias("author"), "text")
+
+
+USABLE = f"""lines as materialized (select conv_id, turn, case when not (starts_with(text, chr(8206)) or (starts_with(low, '<') and ends_with(low, '>')) or ends_with(low, ' omitted') or low in ({", ".join(f"'{x}'" for x in chat.DELETED)}) or contains(low, 'attached:')
+    or regexp_matches(line, '{chat.LINK}') or regexp_matches(line, '{chat.DIGITS}') or len(string_split(line, ' ')) < 3 or length(line) > 250 or not regexp_matches(lower({Q.strip('line')}), '[cegiosu]')) then line end as line
+    from (select *, lower(line) as low from (select conv_id, turn, text, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\\x{{200e}}\\x{{200f}}]', ' ', 'g'), '\\s+', ' ', 'g'), '{chat.EDITED}\\s*$', '')) as line from conversations)))"""
+
+
+@query("select role as author, count(*) as n from conversations group by role")
+def author_histogram(spark, d):
+    return chat.author_histogram(messages(spark, d))
+
+
+@query(f"with {USABLE} select conv_id, turn, line from lines where line is not null")
+def chat_usable(spark, d):
+    return messages(spark, d).select("conv_id", "turn", chat.usable(F.col("text")).alias("line")).where("line is not null")
+
+
+@query(f"with {USABLE} select line as text from (select distinct line from lines l join conversations c using (conv_id, turn) where line is not null and role = 'user') order by md5('0:' || line), line limit 50")
+def chat_sample(spark, d):
+    """A report: 50 lines of one author."""
+    lines = chat.kept_lines(messages(spark, d).where("author = 'user'"), order=("conv_id", "turn"))
+    return chat.sample(lines, 50).select("text")
+
+
+@query()
+def rate_limiter(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    out = limited(rows, user_col="user_id", time_col="ts", id_col="event_id", allowance=2, window=6 * 3600.0)
+    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("requests"), F.count_if("admitted").alias("admitted"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -13,8 +13,8 @@ def lower(x: str) -> str:
 
 
 def upper(x: str) -> str:
-    # DuckDB leaves ß as it is.
-    return f"replace(upper(translate({x}, 'iı', 'İI')), 'ß', 'SS')"
+    # DuckDB has a capital for ß.
+    return f"replace(upper(translate({x}, 'iı', 'İI')), 'ẞ', 'SS')"
 
 
 def strip(x: str) -> str:

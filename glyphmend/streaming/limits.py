@@ -60,4 +60,5 @@ def limited_stream(requests: DataFrame, *, user_col: str, time_col: str, id_col:
         yield pd.DataFrame({"i": rows["i"], "u": rows["u"], "admitted": admitted})
 
     rows = requests.select(F.col(id_col).alias("i"), F.col(user_col).alias("u"), F.col(time_col).cast("double").alias("t"))
-    return rows.groupBy("u").applyInPandasWithState(run, f"i {kinds[id_col]}, u {kinds[user_col]}, admitted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    out = rows.groupBy("u").applyInPandasWithState(run, f"i {kinds[id_col]}, u {kinds[user_col]}, admitted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return out.select(F.col("i").alias(id_col), F.col("u").alias(user_col), "admitted")

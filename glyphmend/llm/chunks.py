@@ -7,11 +7,13 @@ space is cut inside, by the same hash.
 
 The unit of comparison is a variable run of whole chunks, from each chunk's start to the first
 boundary at which it has ``MIN_WORDS`` words (or ``MIN_BYTES`` bytes).  Runs are compared by a 64-bit
-digest; the first in order of (id, digest of the text, position) stays and every later one is cut out.
+digest; those of the first document, by (id, digest of the text), stay and those of every later document
+are cut out; repeats within one document are no business of this operator.
 A passage kept nowhere cannot arise: what is cut has an earlier equal.
 
-Scale: a map task keeps one copy of each digest, packs its digests by bucket into binary columns, and
-only those 20 bytes a run are shuffled; a run in a third of all documents costs a row a batch.  Texts
+Scale: a map task keeps one run of each digest a batch, packs them by bucket into binary columns, and
+only those 18 bytes a run are shuffled; its later runs leave at once as joined spans.  So a passage in a
+third of all documents costs its bucket one run a batch.  Texts
 are shuffled once, to meet their cut spans.
 
 Defined cases: null and empty texts stay; repeated rows (same id, same text) are one document and are
@@ -24,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from glyphmend.llm.common import unpacked, whole_row
 
-MIN_WORDS = 20
+MIN_WORDS = 24
 MIN_BYTES = 240
 #: Of 256: the share of word ends that end a chunk.
 CUT = 64
@@ -90,92 +91,132 @@ def runs(text: bytes, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) ->
     return np.array([digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], dtype=np.uint64), starts, ends
 
 
-_ORDER = np.dtype([("digest", "<u8"), ("null", "u1"), ("id", "<i8"), ("text", "<i8"), ("start", "<u4"), ("end", "<u4")])
-_DOC = np.dtype([("null", "u1"), ("id", "<i8"), ("text", "<i8")])
-_RUN = np.dtype([("digest", "<u8"), ("doc", "<u2"), ("start", "<u4"), ("len", "<u2")])
+_DOC = [("null", "u1"), ("id", "<i8"), ("text", "<i8")]
+_RUN = np.dtype([("digest", "<u8"), *_DOC, ("start", "<u4"), ("len", "<u4")])
+_PACKED = np.dtype([("digest", "<u8"), ("doc", "<u2"), ("start", "<u4"), ("len", "<u2")])
+_SPAN = np.dtype([*_DOC, ("start", "<u4"), ("len", "<u4")])
+#: Documents in a pack at most; their numbers in it fit 16 bits.
 PER_PACK = 1 << 12
 
 
+def _after_first(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each digest and its like, all others) of runs, in order of (null, id, text, start); repeats in the first's own document are like it."""
+    by = np.argsort(x["digest"], kind="stable")
+    same = x["digest"][by][1:] == x["digest"][by][:-1]
+    shared = np.zeros(len(x), dtype=bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    alone, x = x[by[~shared]], x[by[shared]]
+    # Most digests are alone: only the others are sorted by all fields.
+    x = x[np.lexsort((x["start"], x["text"], x["id"], x["null"], x["digest"]))]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x["digest"][1:] != x["digest"][:-1]
+    first = x[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))]
+    again = np.zeros(len(x), dtype=bool)
+    for f in ("null", "id", "text"):
+        again |= x[f] != first[f]
+    return np.concatenate([alone, x[~again]]), x[again]
+
+
+def _spans(x: np.ndarray) -> np.ndarray:
+    """Runs of the same document that touch or overlap, as one span."""
+    x = x[np.lexsort((x["start"], x["text"], x["id"], x["null"]))]
+    if not len(x):
+        return np.empty(0, _SPAN)
+    end = x["start"].astype(np.int64) + x["len"]
+    doc = np.zeros(len(x), dtype=np.int64)
+    for f in ("null", "id", "text"):
+        doc[1:] |= x[f][1:] != x[f][:-1]
+    doc = np.cumsum(doc)
+    # Ends so far, kept apart by document: a shift of more than any length.
+    wide = int(end.max()) + 1
+    reach = np.maximum.accumulate(end + doc * wide) - doc * wide
+    begins = np.ones(len(x), dtype=bool)
+    begins[1:] = (doc[1:] != doc[:-1]) | (x["start"][1:] > reach[:-1])
+    at = np.flatnonzero(begins)
+    out = np.empty(len(at), dtype=_SPAN)
+    for f in ("null", "id", "text", "start"):
+        out[f] = x[f][at]
+    out["len"] = np.append(reach[at[1:] - 1], reach[-1]) - out["start"]
+    return out
+
+
+def _runs_of(b: pa.RecordBatch) -> np.ndarray:
+    """The runs of all documents of a batch (_id, _text, _hash)."""
+    parts = []
+    null, ids, texts = b["_id"].is_null().to_numpy(zero_copy_only=False), b["_id"].fill_null(0).to_numpy(), b["_hash"].to_numpy()
+    for i, t in enumerate(b["_text"].to_pylist()):
+        h, s, e = runs(t.encode("utf-8", "surrogatepass")) if t else (np.empty(0, np.uint64), None, None)
+        if len(h):
+            x = np.empty(len(h), dtype=_RUN)
+            x["digest"], x["null"], x["id"], x["text"], x["start"], x["len"] = h, null[i], ids[i], texts[i], s, e - s
+            parts.append(x)
+    return np.concatenate(parts) if parts else np.empty(0, _RUN)
+
+
+def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(keys, kind="stable")
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(keys[order])) + 1, [len(keys)])).tolist()
+    for a, z in zip(edges[:-1], edges[1:]):
+        if z > a:
+            yield int(keys[order[a]]), order[a:z]
+
+
 def _pack(buckets: int):
-    """Batches of (_id, _text, _hash) to packs (bucket, docs, runs): binary rows of _DOC and _RUN."""
+    """Batches of (_id, _text, _hash) to packs (bucket, docs, runs, spans).
+
+    A pack has one run of each digest, the first of the batch; the batch's later ones are known to be
+    later, and go as spans, dealt by document.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), PER_PACK):
-                b = batch.slice(k, PER_PACK)
-                docs = np.zeros(len(b), dtype=_DOC)
-                docs["null"] = b["_id"].is_null().to_numpy(zero_copy_only=False)
-                docs["id"] = b["_id"].fill_null(0).to_numpy()
-                docs["text"] = b["_hash"].to_numpy()
-                digests, which, starts, ends = [], [], [], []
-                for i, t in enumerate(b["_text"].to_pylist()):
-                    h, s, e = runs(t.encode("utf-8", "surrogatepass")) if t else (np.empty(0, np.uint64), (), ())
-                    if len(h):
-                        digests.append(h)
-                        which.append(np.full(len(h), i, dtype=np.uint16))
-                        starts.append(s)
-                        ends.append(e)
-                if not digests:
-                    continue
-                r = np.zeros(sum(map(len, digests)), dtype=_RUN)
-                r["digest"], r["doc"] = np.concatenate(digests), np.concatenate(which)
-                r["start"] = np.concatenate(starts)
-                r["len"] = np.minimum(np.concatenate(ends) - np.concatenate(starts), 65535)
-                bucket = (r["digest"] >> np.uint64(40)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                r, bucket = r[order], bucket[order]
-                at = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(r)]))
-                names, of, packed = [], [], []
-                for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
-                    part = r[a:z]
-                    used, doc = np.unique(part["doc"], return_inverse=True)
-                    part = part.copy()
-                    part["doc"] = doc
-                    names.append(int(bucket[a])), of.append(docs[used].tobytes()), packed.append(part.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(of, pa.binary()), pa.array(packed, pa.binary())], names=["bucket", "docs", "runs"])
+                firsts, others = _after_first(_runs_of(batch.slice(k, PER_PACK)))
+                rows: list[tuple[int, bytes, bytes, bytes]] = []
+                for bucket, at in _groups((firsts["digest"] >> np.uint64(40)) % np.uint64(buckets)):
+                    part = firsts[at]
+                    of = np.empty(len(part), dtype=_DOC)
+                    for f in ("null", "id", "text"):
+                        of[f] = part[f]
+                    docs, which = np.unique(of, return_inverse=True)
+                    packed = np.empty(len(part), dtype=_PACKED)
+                    packed["digest"], packed["doc"], packed["start"], packed["len"] = part["digest"], which, part["start"], np.minimum(part["len"], 65535)
+                    rows.append((bucket, docs.tobytes(), packed.tobytes(), b""))
+                spans = _spans(others)
+                for bucket, at in _groups(spans["text"].view(np.uint64) % np.uint64(buckets)):
+                    rows.append((bucket, b"", b"", spans[at].tobytes()))
+                if rows:
+                    names, *blobs = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *[pa.array(x, pa.binary()) for x in blobs]], names=["bucket", "docs", "runs", "spans"])
 
     return pack
 
 
-def _later(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spans of all runs in a bucket of digests but the first of each digest, joined where they touch."""
-    parts = []
-    for d, r in zip(pdf["docs"], pdf["runs"]):
-        doc, run = np.frombuffer(d, dtype=_DOC), np.frombuffer(r, dtype=_RUN)
-        x = np.empty(len(run), dtype=_ORDER)
-        of = doc[run["doc"]]
+def _later(table: pa.Table) -> pa.Table:
+    """Spans of all runs in a bucket of digests but the first of each digest, and the spans known before."""
+    parts, out = [np.empty(0, _RUN)], [np.empty(0, _SPAN)]
+    for d, r, s in zip(table["docs"].to_pylist(), table["runs"].to_pylist(), table["spans"].to_pylist()):
+        out.append(np.frombuffer(s, dtype=_SPAN))
+        packed = np.frombuffer(r, dtype=_PACKED)
+        of, x = np.frombuffer(d, dtype=_DOC)[packed["doc"]], np.empty(len(packed), dtype=_RUN)
         for f in ("null", "id", "text"):
             x[f] = of[f]
-        x["digest"], x["start"], x["end"] = run["digest"], run["start"], run["start"].astype(np.uint32) + run["len"]
+        for f in ("digest", "start", "len"):
+            x[f] = packed[f]
         parts.append(x)
-    x = np.concatenate(parts)
-    # Most digests are alone: only the others are sorted by all fields.
-    by = np.argsort(x["digest"], kind="stable")
-    d = x["digest"][by]
-    same = d[1:] == d[:-1]
-    some = np.zeros(len(x), dtype=bool)
-    some[1:] |= same
-    some[:-1] |= same
-    x = x[by[some]]
-    x = x[np.lexsort((x["start"], x["text"], x["id"], x["null"], x["digest"]))]
-    new = np.ones(len(x), dtype=bool)
-    new[1:] = x["digest"][1:] != x["digest"][:-1]
-    first = x[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))]
-    again = np.zeros(len(x), dtype=bool)
-    for f in ("null", "id", "text", "start"):
-        again |= x[f] != first[f]
-    x = x[again]
-    ids = pd.array(x["id"], dtype="Int64")
-    ids[x["null"] == 1] = pd.NA
-    return pd.DataFrame({"sid": ids, "stext": x["text"], "start": x["start"].astype(np.int64), "end": x["end"].astype(np.int64)})
+    out.append(_spans(_after_first(np.concatenate(parts))[1]))
+    x = np.concatenate(out)
+    start = x["start"].astype(np.int64)
+    return pa.table({"sid": pa.array(x["id"].copy(), mask=x["null"] == 1), "stext": pa.array(x["text"].copy()), "start": pa.array(start), "end": pa.array(start + x["len"])})
 
 
 def later_runs(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", buckets: int | None = None) -> DataFrame:
     """sid, stext (xxhash64 of the text), start, end: byte spans of every run that an earlier place has."""
     buckets = buckets or max(48, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
-    packs = rows.mapInArrow(_pack(buckets), "bucket int, docs binary, runs binary")
-    return packs.groupBy("bucket").applyInPandas(_later, "sid long, stext long, start long, end long")
+    packs = rows.mapInArrow(_pack(buckets), "bucket int, docs binary, runs binary, spans binary")
+    return packs.groupBy("bucket").applyInArrow(_later, "sid long, stext long, start long, end long")
 
 
 def _merge(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:

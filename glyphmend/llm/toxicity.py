@@ -44,25 +44,34 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def slots_of(text: str | None, mark: np.ndarray) -> np.ndarray:
-    """Distinct slots of the n-grams of a text, ascending; mark: SLOTS false flags, which it leaves so."""
+def _distinct(found: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Each value once; place: scratch of SLOTS numbers, whose content does not matter."""
+    order = np.arange(len(found), dtype=np.int32)
+    place[found] = order
+    return found[place[found] == order]
+
+
+def slots_of(text: str | None, place: np.ndarray) -> np.ndarray:
+    """Distinct slots of the n-grams of a text; place: scratch of SLOTS 32-bit numbers."""
     if not text:
-        return np.empty(0, dtype=np.int64)
-    codes = _codes(text)
+        return np.empty(0, dtype=np.int32)
+    codes, out = _codes(text), []
     for k in range(0, len(codes), PIECE):
         part = codes[k : k + PIECE + max(ORDERS) - 1]
         h = np.zeros(len(part), dtype=np.uint32)
+        found = []
         for n in range(1, max(ORDERS) + 1):
             if len(part) < n:
                 break
             h = h[: len(part) - n + 1] * np.uint32(0x01000193) + part[n - 1 :] * _PRIMES[n - 1]
             if n in ORDERS:
-                g = h ^ (h >> np.uint32(15))
-                g = g * np.uint32(0x85EBCA6B)
-                mark[g >> np.uint32(12)] = True
-    found = np.flatnonzero(mark)
-    mark[found] = False
-    return found
+                g = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+                found.append((g >> np.uint32(12)).astype(np.int32))
+        if found:
+            out.append(_distinct(np.concatenate(found), place))
+    if not out:
+        return np.empty(0, dtype=np.int32)
+    return out[0] if len(out) == 1 else _distinct(np.concatenate(out), place)
 
 
 def fit(texts: list[str | None], toxic: np.ndarray, *, keep: int = KEEP, l2: float = 1.0, steps: int = 120) -> tuple[np.ndarray, float]:
@@ -71,8 +80,8 @@ def fit(texts: list[str | None], toxic: np.ndarray, *, keep: int = KEEP, l2: flo
     weights = np.zeros(SLOTS, dtype=np.float32)
     if n == 0 or ones in (0, n):
         return weights, float(-40.0 if ones == 0 else 40.0)
-    mark = np.zeros(SLOTS, dtype=bool)
-    rows = [slots_of(t, mark).astype(np.int32) for t in texts]
+    place = np.empty(SLOTS, dtype=np.int32)
+    rows = [slots_of(t, place) for t in texts]
     counts = np.zeros((2, SLOTS))
     for r, y in zip(rows, toxic):
         counts[int(y), r] += 1
@@ -150,10 +159,10 @@ def score_texts(docs: DataFrame, weights: np.ndarray, intercept: float, *, text_
     shared = docs.sparkSession.sparkContext.broadcast(buffer.getvalue())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, mark = np.load(io.BytesIO(shared.value))["w"], np.zeros(SLOTS, dtype=bool)
+        w, place = np.load(io.BytesIO(shared.value))["w"], np.empty(SLOTS, dtype=np.int32)
         for b in batches:
             texts = b["_text"] if "_text" in b.schema.names else b["_row"].field(text_col)
-            z = np.array([float(w[slots_of(t, mark)].sum(dtype=np.float64)) + intercept for t in texts.to_pylist()], dtype=np.float64)
+            z = np.array([float(w[slots_of(t, place)].sum(dtype=np.float64)) + intercept for t in texts.to_pylist()], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([b["_row"], pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["_row", "_score"])
 
     rows = docs.select(whole_row(docs, keep), *([] if text_col in keep else [F.col(text_col).alias("_text")]))

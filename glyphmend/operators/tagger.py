@@ -39,16 +39,15 @@ def window_bounds(length: Column, window: int = WINDOW, overlap: int = OVERLAP)
 
 def positions(texts: DataFrame, *, id_col: str, text_col: str, radius: int = max(RADII)) -> DataFrame:
     """id, at, letter, label, around (2 * radius + 1 characters) for each foldable letter."""
-    padded = F.concat(F.lit(" " * radius), strip_diacritics(az_lower(F.col(text_col))), F.lit(" " * radius))
+    blank = F.array(*[F.lit(" ")] * radius)
+    lowered = characters(strip_diacritics(az_lower(F.col(text_col))))
+    rows = texts.select(F.col(id_col), F.concat(blank, lowered, blank).alias("_p"), characters(strip_diacritics(F.col(text_col))).alias("_c"), to_labels(F.col(text_col)).alias("_l"))
     # Az-lowering keeps the length of all but a few characters; only texts that it keeps are aligned.
-    rows = texts.select(F.col(id_col), padded.alias("_p"), characters(strip_diacritics(F.col(text_col))).alias("_c"), to_labels(F.col(text_col)).alias("_l"))
-    rows = rows.where(F.length("_p") == F.size("_c") + 2 * radius)
-    around = F.transform(
-        F.filter(F.transform(F.arrays_zip(F.col("_c").alias("c"), F.col("_l").alias("l")), lambda x, i: F.struct(i.alias("at"), x["c"].alias("letter"), x["l"].alias("label"))), lambda x: is_foldable(x["letter"])),
-        lambda x: x,
-    )
-    flat = rows.select(id_col, "_p", F.explode(around).alias("x"))
-    return flat.select(id_col, F.col("x.at").alias("at"), F.col("x.letter").alias("letter"), F.col("x.label").alias("label"), F.col("_p").substr(F.col("x.at") + 1, F.lit(2 * radius + 1)).alias("around"))
+    rows = rows.where(F.size("_p") == F.size("_c") + 2 * radius)
+    places = F.filter(F.transform(F.arrays_zip(F.col("_c").alias("c"), F.col("_l").alias("l")), lambda x, i: F.struct(i.alias("at"), x["c"].alias("letter"), x["l"].alias("label"))), lambda x: is_foldable(x["letter"]))
+    # Windows are cut from the array of characters before the explode: nothing long is carried beside a letter.
+    cut = F.transform(places, lambda x: F.struct(x["at"].alias("at"), x["letter"].alias("letter"), x["label"].alias("label"), F.array_join(F.slice(F.col("_p"), x["at"] + 1, F.lit(2 * radius + 1)), "").alias("around")))
+    return rows.select(id_col, F.explode(cut).alias("x")).select(id_col, "x.at", "x.letter", "x.label", "x.around")
 
 
 def _contexts(rows: DataFrame) -> DataFrame:

@@ -427,8 +427,10 @@ def tagger_windows(spark, d):
     return rows.select("doc_id", "nth", "w.start", "w.end", "w.commit_start", "w.commit_end")
 
 
-CHARS = f"""chars as materialized (select doc_id, plc, substr(p, plc + 1, 9) as around, label from (select doc_id, p, unnest(range(len(cs))) as plc, unnest(cs) as c, unnest(list_transform(list_zip(cs, ts), lambda x: (x[1] <> x[2])::int)) as label
-    from (select doc_id, '    ' || {Q.key('text')} || '    ' as p, string_split({Q.strip('text')}, '') as cs, string_split(text, '') as ts from documents where text <> '') where length(p) = len(cs) + 8) where contains('{L.PLAIN}', c)),
+AROUND = " || ".join(["k" if i == 0 else f"{'lag' if i < 0 else 'lead'}(k, {abs(i)}, ' ') over w" for i in range(-4, 5)])
+CHARS = f"""letters as (select doc_id, unnest(range(len(cs))) as plc, unnest(cs) as c, unnest(ks) as k, unnest(ts) as t from (select doc_id, string_split({Q.key('text')}, '') as ks, string_split({Q.strip('text')}, '') as cs,
+    string_split(text, '') as ts from documents where text <> '') where len(ks) = len(cs)),
+    chars as materialized (select doc_id, around, label from (select doc_id, c, (c <> t)::int as label, {AROUND} as around from letters window w as (partition by doc_id order by plc)) where contains('{L.PLAIN}', c)),
     model as materialized (select radius, substr(around, 5 - radius, 2 * radius + 1) as ctx, count(*) as seen, sum(label)::bigint as marked from chars cross join (select unnest([1, 2, 3, 4])::int as radius) group by 1, 2 having count(*) >= 3)"""
 
 
@@ -437,9 +439,10 @@ def tagger_model(spark, d):
     return tagger.train(docs(spark, d), id_col="doc_id", text_col="text")
 
 
-@query(f"""with {CHARS} select count(*) as positions, sum(((coalesce(p, 0) > 0.5)::int = label)::int)::bigint as correct from chars c left join (
-    select around, max_by(marked / seen, m.radius) as p from (select distinct around from chars) a cross join (select unnest([1, 2, 3, 4])::int as radius) r
-    join model m on m.radius = r.radius and m.ctx = substr(around, 5 - r.radius, 2 * r.radius + 1) group by around) w on w.around = c.around""")
+@query(f"""with {CHARS},
+    asked as materialized (select around, radius, substr(around, 5 - radius, 2 * radius + 1) as ctx from (select distinct around from chars) cross join (select unnest([1, 2, 3, 4])::int as radius)),
+    widest as materialized (select around, max_by(marked / seen, radius) as p from asked join model using (radius, ctx) group by around)
+    select count(*) as positions, sum(((coalesce(p, 0) > 0.5)::int = label)::int)::bigint as correct from chars c left join widest w on w.around = c.around""")
 def tagger_decisions(spark, d):
     model = tagger.train(docs(spark, d), id_col="doc_id", text_col="text")
     return tagger.decisions(tagger.probabilities(docs(spark, d), model, id_col="doc_id", text_col="text"))
@@ -526,9 +529,9 @@ SQL["word_splits"] = Q.query("", "known").rstrip() + """, sp as (select key, sub
 
 @query()
 def spell_candidates(spark, d):
-    """Corrections at one edit, or one split, of the keys that look misspelt."""
+    """Corrections at one edit, or one split as typed, of the keys that look misspelt."""
     words, endings = vocabulary(spark, d)
-    return spelling.candidates(spelling.suspicious(words, words, endings), words, distance=1).withColumn("words", F.array_join("words", " "))
+    return spelling.candidates(spelling.suspicious(words, words, endings), words, distance=1, split_edits=False).withColumn("words", F.array_join("words", " "))
 
 
 @query()

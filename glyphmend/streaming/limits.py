@@ -9,9 +9,10 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import NumericType
 
 ALLOWANCE, WINDOW_S = 60, 60.0
 
@@ -28,6 +29,12 @@ def admit(times: list[float], held: deque, allowance: int, window: float) -> lis
     return out
 
 
+def _seconds(requests: DataFrame, time_col: str) -> Column:
+    """The time as seconds: numbers as they are, dates and timestamps with or without a zone since 1970."""
+    c = F.col(time_col)
+    return c.cast("double") if isinstance(requests.schema[time_col].dataType, NumericType) else c.cast("timestamp").cast("double")
+
+
 def limited(requests: DataFrame, *, user_col: str, time_col: str, id_col: str, allowance: int = ALLOWANCE, window: float = WINDOW_S) -> DataFrame:
     """id, user, admitted.  Users are sorted inside partitions and streamed in batches, so a busy user needs no memory but its window."""
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
@@ -43,7 +50,7 @@ def limited(requests: DataFrame, *, user_col: str, time_col: str, id_col: str, a
             if parts:
                 yield pd.concat(parts)
 
-    rows = requests.select(F.col(id_col).alias("i"), F.col(user_col).alias("u"), F.col(time_col).cast("double").alias("t"))
+    rows = requests.select(F.col(id_col).alias("i"), F.col(user_col).alias("u"), _seconds(requests, time_col).alias("t"))
     out = rows.repartition("u").sortWithinPartitions("u", "t", "i").mapInPandas(run, f"i {kinds[id_col]}, u {kinds[user_col]}, admitted boolean")
     return out.select(F.col("i").alias(id_col), F.col("u").alias(user_col), "admitted")
 
@@ -59,6 +66,6 @@ def limited_stream(requests: DataFrame, *, user_col: str, time_col: str, id_col:
         state.update((list(held),))
         yield pd.DataFrame({"i": rows["i"], "u": rows["u"], "admitted": admitted})
 
-    rows = requests.select(F.col(id_col).alias("i"), F.col(user_col).alias("u"), F.col(time_col).cast("double").alias("t"))
+    rows = requests.select(F.col(id_col).alias("i"), F.col(user_col).alias("u"), _seconds(requests, time_col).alias("t"))
     out = rows.groupBy("u").applyInPandasWithState(run, f"i {kinds[id_col]}, u {kinds[user_col]}, admitted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
     return out.select(F.col("i").alias(id_col), F.col("u").alias(user_col), "admitted")

@@ -19,7 +19,7 @@ name a group while another id is there; an empty table gives an empty result; ot
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -214,16 +214,21 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     """id, text_hash, fp, component_fp (one for each group), component_id (smallest id of the group) for each row."""
     marked = checkpointed(fingerprints(docs, text_col=text_col, id_col=id_col))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    joined = components(fingerprint_links(distinct, sample=sample, shard=shard))
+    return grouped(marked, distinct, fingerprint_links(distinct, sample=sample, shard=shard), id_col=id_col)
+
+
+def grouped(marked: DataFrame, distinct: DataFrame, links: DataFrame, *, id_col: str) -> DataFrame:
+    """The rows of marked (id, text_hash, fp) with the group of their fp by links between the fp of distinct (fp, least)."""
+    joined = components(links)
     groups = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("component_fp"))
     heads = groups.groupBy(F.col("component_fp").alias("head")).agg(F.min("least").alias("component_id"))
     named = groups.join(heads, F.col("component_fp") == F.col("head")).select(F.col("fp").alias("nfp"), "component_fp", "component_id")
     return marked.join(named, F.col("fp") == F.col("nfp")).select(F.col("id").alias(id_col), "text_hash", "fp", "component_fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The columns of docs for one row of each group: that of the smallest id (of repeated rows, one)."""
-    found = near_duplicates(docs, text_col=text_col, id_col=id_col, **options)
+def drop_near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", find: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
+    """The columns of docs for one row of each group that find names: that of the smallest id (of repeated rows, one)."""
+    found = find(docs, text_col=text_col, id_col=id_col, **options)
     heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_fp").agg(F.min("text_hash").alias("_khash"), F.first("component_id").alias("_kid"))
     rows = docs.select(whole_row(docs), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
     kept = rows.join(heads, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_hash") == F.col("_khash")), "left_semi")

@@ -7,8 +7,8 @@ space is cut inside, by the same hash.
 
 The unit of comparison is a variable run of whole chunks, from each chunk's start to the first
 boundary at which it has ``MIN_WORDS`` words (or ``MIN_BYTES`` bytes).  Runs are compared by a 64-bit
-digest; those of the first document, by (id, digest of the text), stay and those of every later document
-are cut out; repeats within one document are no business of this operator.
+digest; the first in order of (id, digest of the text, position) stays and every later one is cut out, in
+the same document too.
 A passage kept nowhere cannot arise: what is cut has an earlier equal.
 
 Scale: a map task keeps one run of each digest a batch, packs them by bucket into binary columns, and
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from glyphmend.llm.common import unpacked, whole_row
 
-MIN_WORDS = 24
+MIN_WORDS = 16
 MIN_BYTES = 240
 #: Of 256: the share of word ends that end a chunk.
 CUT = 64
@@ -100,7 +100,7 @@ PER_PACK = 1 << 12
 
 
 def _after_first(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first of each digest and its like, all others) of runs, in order of (null, id, text, start); repeats in the first's own document are like it."""
+    """(first of each digest and its like, all others) of runs, in order of (null, id, text, start); a repeated row's runs are like it."""
     by = np.argsort(x["digest"], kind="stable")
     same = x["digest"][by][1:] == x["digest"][by][:-1]
     shared = np.zeros(len(x), dtype=bool)
@@ -113,7 +113,7 @@ def _after_first(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = x["digest"][1:] != x["digest"][:-1]
     first = x[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))]
     again = np.zeros(len(x), dtype=bool)
-    for f in ("null", "id", "text"):
+    for f in ("null", "id", "text", "start"):
         again |= x[f] != first[f]
     return np.concatenate([alone, x[~again]]), x[again]
 

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from glyphmend.llm import simhash
-from glyphmend.llm.chunks import boundaries, dedup_substrings
+from glyphmend.llm.chunks import boundaries, dedup_substrings, runs
 from glyphmend.llm.components import components
 
 
@@ -137,3 +137,26 @@ def test_substring_dedup_odd_rows(spark):
     assert got["g", 6].text == dense and len(got["h", 7].text) < 200
     assert dedup_substrings(docs.limit(0)).count() == 0
     assert out.where(F.col("_removed") < 0).count() == 0
+
+
+def test_repeats_within_one_document_are_cut(spark):
+    rng = random.Random(8)
+    passage, other = words(rng, 60), words(rng, 60)
+    text = f"{other} {passage} {words(rng, 80)} {passage} {words(rng, 40)}"
+    rows = [(1, text), (1, text), (2, words(rng, 300)), (3, f"{words(rng, 20)} {passage} {words(rng, 20)}")]
+    out = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in out:
+        if r.doc_id == 1:
+            assert r._removed > 150 and r.text.split()[:120] == text.split()[:120] and r.text.split()[-40:] == text.split()[-40:]
+            assert all(g.start >= len(f"{other} {passage}") for g in r._gone)
+        else:
+            assert (r._removed > 150) == (r.doc_id == 3)
+
+
+def test_passages_of_over_50_words_hold_a_run():
+    rng, missed = random.Random(9), 0
+    for _ in range(2500):
+        passage = words(rng, 51)
+        found = [set(runs(f"{words(rng, 30)} {passage} {words(rng, 30)}".encode())[0].tolist()) for _ in range(2)]
+        missed += not found[0] & found[1]
+    assert missed <= 4

@@ -93,7 +93,7 @@ def runs(text: bytes, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) ->
 
 _DOC = [("null", "u1"), ("id", "<i8"), ("text", "<i8")]
 _RUN = np.dtype([("digest", "<u8"), *_DOC, ("start", "<u4"), ("len", "<u4")])
-_PACKED = np.dtype([("digest", "<u8"), ("doc", "<u2"), ("start", "<u4"), ("len", "<u2")])
+_PACKED = np.dtype([("digest", "<u8"), ("doc", "<u2"), ("start", "<u4"), ("len", "<u4")])
 _SPAN = np.dtype([*_DOC, ("start", "<u4"), ("len", "<u4")])
 #: Documents in a pack at most; their numbers in it fit 16 bits.
 PER_PACK = 1 << 12
@@ -181,7 +181,7 @@ def _pack(buckets: int):
                         of[f] = part[f]
                     docs, which = np.unique(of, return_inverse=True)
                     packed = np.empty(len(part), dtype=_PACKED)
-                    packed["digest"], packed["doc"], packed["start"], packed["len"] = part["digest"], which, part["start"], np.minimum(part["len"], 65535)
+                    packed["digest"], packed["doc"], packed["start"], packed["len"] = part["digest"], which, part["start"], part["len"]
                     rows.append((bucket, docs.tobytes(), packed.tobytes(), b""))
                 spans = _spans(others)
                 for bucket, at in _groups(spans["text"].view(np.uint64) % np.uint64(buckets)):

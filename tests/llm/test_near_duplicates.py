@@ -160,3 +160,10 @@ def test_passages_of_over_50_words_hold_a_run():
         found = [set(runs(f"{words(rng, 30)} {passage} {words(rng, 30)}".encode())[0].tolist()) for _ in range(2)]
         missed += not found[0] & found[1]
     assert missed <= 4
+
+
+def test_long_runs_are_cut_whole_wherever_their_rows_are(spark):
+    rows = [(1, "a" * 80_000), (2, "é" * 40_000), (3, "a" * 80_000), (4, "é" * 40_000), (5, "a" * 80_000)]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        assert {r.doc_id: len(r.text) for r in dedup_substrings(docs).collect()} == {1: 80_000, 2: 40_000, 3: 0, 4: 0, 5: 0}

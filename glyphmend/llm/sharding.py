@@ -5,7 +5,9 @@ shard capacity is found by binary search, each candidate checked greedily over t
 sizes, and the cuts are made there.  The driver never holds the groups: it holds at most
 ``SEGMENTS`` contiguous segments of the key range.  Cuts that fall into a segment of several
 groups bound the capacity from both sides; those segments alone are split finer (``zoom``) until
-no segment that a cut can touch holds more than one group, which makes the answer exact.
+no segment that a cut can touch holds more than one group, which makes the answer exact.  Where one
+group alone sets the capacity it has a shard of its own, and the stretches before and after it are
+partitioned in the same way over the other shards, so that they stay near equal below it.
 
 Defined cases: null texts are one group, first in order, of size 8 a row; empty texts are another;
 repeated rows share a group; an empty table gives an empty result; null ids come first in a group.
@@ -102,6 +104,9 @@ def minimax_cuts(groups: DataFrame, shards: int, *, key: str = "_key", size: str
         touched = {i for lo, hi in zip(coarse, late) for i in range(max(0, bisect.bisect_left(sums, lo) - 1), min(len(parts), bisect.bisect_right(sums, hi) + 1))}
         fine = sorted(i for i in touched if parts[i].groups > 1)
         if not fine:
+            hot = next((i for i, x in enumerate(parts) if x.groups == 1 and x.size == high), None)
+            if hot is not None and high > -(-sums[-1] // shards):
+                return _around(groups, parts, hot, shards, key=key, size=size, segments=segments), high
             cuts = _greedy(parts, sums, high, shards, False)
             return [parts[bisect.bisect_left(sums, c)].prefix for c in cuts[:-1]], high
         width = min(len(parts[i].prefix) for i in fine)
@@ -111,6 +116,29 @@ def minimax_cuts(groups: DataFrame, shards: int, *, key: str = "_key", size: str
         parts = sorted(keep + finer, key=lambda x: x.prefix)
 
 
+def _around(groups: DataFrame, parts: list[Segment], hot: int, shards: int, *, key: str, size: str, segments: int) -> list[str]:
+    """First keys of shards where one group, parts[hot], sets the capacity: the stretches before and after it are cut on their own."""
+
+    def least(stretch: list[Segment], n: int) -> int | None:
+        if not stretch or not n:
+            return None if stretch else 0
+        sums = [0]
+        for x in stretch:
+            sums.append(sums[-1] + x.size)
+        return _least(stretch, sums, n, False, 1)
+
+    before, after, prefix = parts[:hot], parts[hot + 1 :], parts[hot].prefix
+    costs = {n: (least(before, n), least(after, shards - 1 - n)) for n in range(shards)}
+    costs = {n: max(c) for n, c in costs.items() if None not in c}
+    n = min(costs, key=lambda n: (costs[n], n))
+    place, starts = F.substring(key, 1, len(prefix)), []
+    if before:
+        starts += minimax_cuts(groups.where(place < prefix), n, key=key, size=size, segments=segments)[0] + [prefix]
+    if after:
+        starts += [after[0].prefix] + minimax_cuts(groups.where(place > prefix), shards - 1 - n, key=key, size=size, segments=segments)[0]
+    return starts
+
+
 def _coarse_cuts(parts: list[Segment], sums: list[int], capacity: int, shards: int) -> list[int]:
     """Lower bounds of the cuts at a capacity: a segment that does not fit whole is left for the next shard."""
     cuts, at = [], 0

@@ -4,6 +4,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmend.llm import queries as Q
 from glyphmend.llm.mixing import mix_schedule, weighted_fair_mix
@@ -130,3 +131,14 @@ def test_urls_against_sql(spark):
     assert found[6] == ("", "", None, "allow") and found[7] == ("", "", None, "allow")
     assert found[3] == ("friend.org", "/x", None, "block"), "it links to a blocked host"
     assert judge_urls(pages.limit(0), CONTRACT_RULES).count() == 0
+
+
+@pytest.mark.parametrize("share", [2 / 24, 1 / 3])
+def test_shards_are_near_equal_beside_a_large_group(spark, share):
+    texts = [f"{i} " + "x" * 90 for i in range(4800)]
+    copies = int(share / (1 - share) * len(texts))
+    docs = spark.createDataFrame(list(enumerate(texts + ["y" * 95] * copies)), "doc_id long, text string")
+    sizes = {r.shard: r.s for r in minimax_shards(docs, 24, segments=64).groupBy("shard").agg(F.sum("size").alias("s")).collect()}
+    rest = sorted(sizes.values())[:-1]
+    assert len(sizes) == 24
+    assert rest[-1] <= 1.1 * sum(rest) / 23 and rest[0] >= 0.5 * sum(rest) / 23

@@ -529,9 +529,9 @@ SQL["word_splits"] = Q.query("", "known").rstrip() + """, sp as (select key, sub
 
 @query()
 def spell_candidates(spark, d):
-    """Corrections at one edit, or one split as typed, of the keys that look misspelt."""
+    """Corrections at one edit, or two where one finds nothing, and splits, of the keys that look misspelt."""
     words, endings = vocabulary(spark, d)
-    return spelling.candidates(spelling.suspicious(words, words, endings), words, distance=1, split_edits=False).withColumn("words", F.array_join("words", " "))
+    return spelling.candidates(spelling.suspicious(words, words, endings), words).withColumn("words", F.array_join("words", " "))
 
 
 @query()

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from glyphmend.functions.words import tokens, with_neighbours
 from glyphmend.operators import annotate, context, scoring, spelling, tagger
 from glyphmend.operators import lexicon as lex
 from glyphmend.operators import restore as R
+from glyphmend.plans import catalogue
 
 BASE = ["Səncə nədən başlayaq?", "Qız məktəbə getdi.", "Qız bağçada oynayır.", "İşıq söndü.", "Şəhərdə yaşayır."]
 
@@ -218,3 +221,28 @@ def test_answers(spark):
     df = spark.createDataFrame(rows, "id long, typed string, suggestion string, answer string")
     assert {r.id: r.correct for r in annotate.applied_answers(df).collect()} == {1: "işıq sondu", 2: "işıq söndü", 3: "işıq söndü", 4: None, 5: "YƏNİ EV", 6: None}
     assert annotate.pending(df, df.where("id < 6")).count() == 1
+
+
+def test_registered_candidates_against_brute_force(spark, tmp_path):
+    text = ("kitab " * 10 + "salam " * 12 + "dunya " * 8 + "mektub " * 9 + "ktob salamdnya salamkitab kitap mktubb zzzzzz").split()
+    docs = [(i, " ".join(text), "az", "web") for i in range(1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts = {w: text.count(w) for w in text}
+    known, total = {w: n for w, n in counts.items() if n >= 5}, len(text)
+
+    def near(k):
+        cut = [(k[:i], k[i:]) for i in range(len(k) + 1)]
+        return {a + b[1:] for a, b in cut if b} | {a + b[1] + b[0] + b[2:] for a, b in cut if len(b) > 1} | {a + c + b[1:] for a, b in cut if b for c in spelling.LETTERS} | {a + c + b for a, b in cut for c in spelling.LETTERS}
+
+    true = {}
+    for k in (w for w in counts if w not in known):
+        one = {w for w in near(k) if w in known and w != k}
+        wide = [(k, 0)] + ([] if one else [(s, 1) for s in near(k)])
+        found = [((w,), math.log(known[w] / total) + math.log(0.05)) for w in one]
+        found += [] if one else [((w,), math.log(known[w] / total) + 2 * math.log(0.05)) for w in {x for s in near(k) for x in near(s)} if w in known and w != k]
+        found += [((s[:c], s[c:]), math.log(known[s[:c]] * known[s[c:]] / total**2) + d * math.log(0.05)) for s, d in wide for c in range(2, len(s) - 1) if s[:c] in known and s[c:] in known]
+        for words, score in found:
+            true[k, " ".join(words)] = max(score, true.get((k, " ".join(words)), -1e9))
+    got = {(r.key, r.words): r.score for r in catalogue.QUERIES["spell_candidates"](spark, str(tmp_path)).collect()}
+    assert ("ktob", "kitab") in true and ("salamdnya", "salam dunya") in true
+    assert got == pytest.approx(true, abs=1e-8)

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from glyphmend.llm import toxicity
+from glyphmend.llm import extract, toxicity
 from glyphmend.llm.extract import extract_main_text, main_text
 from glyphmend.llm.packing import Bins, coder, pack, pack_documents
 from glyphmend.llm.queries import default_tokenizer
@@ -115,6 +116,67 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+LONG = "".join(f"<p>Paragraph {i} of a long article with words enough to be the main text of its page, and some more.</p>" for i in range(8))
+AROUND = "<html><body><nav><ul>" + "".join(f"<li><a href=/{i}>Menu {i}</a>" for i in range(8)) + "</ul></nav>%s<footer>Copyright of the site.</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    ("wrapper", "blocks", "first"),
+    [
+        ("<div class='content no-sidebar'>%s</div>", 8, "Paragraph 0"),
+        ("<div class=has-banner>%s</div>", 8, "Paragraph 0"),
+        ("<section class=search-engines>%s</section>", 8, "Paragraph 0"),
+        ("<form id=aspnet><div>%s</div></form>", 8, "Paragraph 0"),
+        ("<article><header><h1>Title</h1></header>%s</article>", 9, "Title"),
+        ("<article><h1>Title</h1><div class=body>%s</div><div class=comments><p>I liked this one a lot, thanks.</p></div></article>", 9, "Title"),
+        ("<main><article><h1>Title</h1>%s</article><article><h2>Teaser</h2><p>A teaser of another story stands here.</p></article></main>", 9, "Title"),
+        ("<article><section><h2>One</h2>%s</section><section><h2>Two</h2><p>The second part has text too, some of it rather long.</p></section></article>", 11, "One"),
+        ("<article>%s<div class=ad>Buy this now, it is cheap.</div><aside>Read more here.</aside></article>", 8, "Paragraph 0"),
+    ],
+)
+def test_furniture_words_drop_no_article(wrapper, blocks, first):
+    found = main_text(AROUND % (wrapper % LONG)).split("\n\n")
+    assert len(found) == blocks and found[0].startswith(first)
+    assert not any("Copyright" in b or "Menu" in b or "eas" in b.split() for b in found)
+
+
+def densities(node, share):
+    """Composite densities by their definition, over nested (tag, children) tuples: (tag, characters, density) from the root on."""
+    tag, children = node
+    parts = [densities(c, share) for c in children if not isinstance(c, str)]
+    direct = [p[0] for p in parts]
+    chars = sum(len(c.replace(" ", "")) for c in children if isinstance(c, str)) + sum(p["chars"] for p in direct)
+    tags = sum(p["tags"] + 1 for p in direct)
+    links = chars if tag == "a" else sum(p["links"] for p in direct)
+    link_tags = sum(p["link_tags"] + (p["tag"] == "a") for p in direct)
+    own = {"tag": tag, "chars": chars, "tags": tags, "links": links, "link_tags": link_tags, "density": 0.0}
+    if chars:
+        base = math.log(chars / max(1, chars - links) * links + share * chars + math.e)
+        ratio = chars / max(1, links) * max(1, tags) / max(1, link_tags)
+        own["density"] = chars / max(1, tags) * max(0.0, math.log(ratio) / (math.log(base) if base > 1 + 1e-9 else 1.0))
+    return [own] + [x for p in parts for x in p]
+
+
+def test_densities_by_their_definition():
+    tree = ("body", [("ul", [("li", [("a", ["one two"])]), ("li", [("a", ["three"])])]), ("div", [("p", ["Some text with ", ("a", ["a link"]), " in it and more."]), ("p", ["Another paragraph stands here."])])])
+    def html(node):
+        return node if isinstance(node, str) else f"<{node[0]}>" + "".join(map(html, node[1])) + f"</{node[0]}>"
+    builder = extract._Builder()
+    builder.feed(html(tree))
+    body = builder.root.children[0]
+    nodes = extract._preorder(body)
+    extract._measure(nodes)
+    total = densities(tree, 0.0)[0]
+    want = densities(tree, total["links"] / total["chars"])
+    assert [n.tag for n in nodes] == [w["tag"] for w in want]
+    assert all(n.chars == w["chars"] and abs(n.density - w["density"]) < 1e-6 for n, w in zip(nodes, want))
+    assert [n.tag for n in extract._main(nodes)] == ["div"]
+
+
+def test_very_long_page():
+    assert len(main_text("<article><h1>T</h1>" + "<p>word after word in a long page</p>" * 50000 + "</article>").split("\n\n")) == 50001
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a b</p>", 2**60 + 1), (1, "u", "<p>a b</p>", None), (None, None, None, 3)], "page_id long, url string, html string, text long")
     out = extract_main_text(pages)

@@ -4,13 +4,17 @@ The tree (two levels) is fitted on a bounded sample and indexes every row: a vec
 nearest centroid at each level.  A query walks the tree through a priority queue of nodes, ordered by
 inner product with their centroids, and visits leaves until a number of visits that calibration has
 found: for a bounded set of the queries, the true neighbours among all rows are computed, and visits
-are widened until ``RECALL`` of them lie in visited leaves.
+are widened until ``RECALL`` of them lie in visited leaves.  Leaves that lie together share a shard; a leaf
+of more rows than a shard is split by row number.  A query goes to the shards of its leaves alone.
+
+Scores are summed from the first component to the last, so equal tables give equal results however they are
+partitioned.
 
 Defined cases: vectors that are null, empty, zero, of an uncommon dimension, without an id, or with
-null or non-finite components take no part; repeated rows are candidates of their own; rows that share
-an id with a query are its own and never its candidates; ties go to the smaller id; queries with few
-candidates in visited leaves visit more until they have k or all; an empty table gives an empty result;
-other columns are ignored.
+null, non-finite or larger components than 2**490 take no part; repeated rows are candidates of their own; rows that
+share an id with a query are its own and never its candidates, and of them the smallest vector asks; ties go to the
+smaller id; queries with few candidates in visited leaves visit more until they have k or all; an empty table gives
+an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmend.llm.vectors import TopK, bounded_sample, matrix, nearest, one_query_each, search_grid, vectors
+from glyphmend.llm.common import checkpointed
+from glyphmend.llm.vectors import TopK, add_nearest, bounded_sample, matrix, nearest, one_query_each, shard_rows, sub_shard, vectors, visits
 
 #: Rows, by order of a hash, on which the tree is fitted.
 SAMPLE = 16384
@@ -111,69 +116,85 @@ def _indexed(tree: Tree):
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                yield pa.RecordBatch.from_arrays([b["id"], b["v"], pa.array(tree.leaf_of(matrix(b["v"])))], names=["id", "v", "leaf"])
+                yield pa.RecordBatch.from_arrays([b["id"], b["v"], b["n"], pa.array(tree.leaf_of(matrix(b["v"])))], names=["id", "v", "n", "place"])
 
     return indexed
 
 
-def _planned(tree: Tree, visits: int, sizes: np.ndarray, k: int):
-    """Adds to each query a bitmap of the leaves that it visits."""
+def leaf_shards(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first shard, shards) of each leaf: neighbours share a shard while it has about most rows, larger leaves get several."""
+    first, subs, at, held = np.zeros(len(sizes), dtype=np.int32), np.ones(len(sizes), dtype=np.int32), 0, 0
+    for j, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            at, held = at + 1, 0
+        first[j], held = at, held + n
+        if n > most:
+            subs[j] = math.ceil(n / most)
+            at, held = at + int(subs[j]), 0
+    return first, subs
+
+
+def _planned(tree: Tree, visited: int, sizes: np.ndarray, first: np.ndarray, subs: np.ndarray, k: int):
+    """Adds to each query a bitmap of the leaves that it visits, and their shards."""
 
     def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            plans = []
-            for walk in tree.walks(matrix(b["v"])):
+            plans, shards = [], []
+            for walk, own in zip(tree.walks(matrix(b["v"])), b["own"].to_pylist()):
                 seen, rows = np.zeros(len(tree.leaves), dtype=bool), 0
                 for n, leaf in enumerate(walk):
-                    if n >= visits and rows > k:
+                    if n >= visited and rows >= k + own:
                         break
                     seen[leaf] = True
                     rows += sizes[leaf]
                 plans.append(np.packbits(seen).tobytes())
-            yield pa.RecordBatch.from_arrays([b["id"], b["v"], pa.array(plans, pa.binary())], names=["id", "v", "plan"])
+                shards.append(sorted({s for j in np.flatnonzero(seen & (sizes > 0)).tolist() for s in range(first[j], first[j] + subs[j])}))
+            yield pa.RecordBatch.from_arrays([b["id"], b["v"], pa.array(plans, pa.binary()), pa.array(shards, pa.list_(pa.int32()))], names=["id", "v", "plan", "shards"])
 
     return planned
 
 
+def _prepare(leaves: int):
+    def prepare(table: pa.Table) -> tuple:
+        leaf = table["place"].to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        return table["id"].to_numpy()[order], matrix(table["v"])[order], np.searchsorted(leaf[order], np.arange(leaves + 1))
+
+    return prepare
+
+
 def _search(leaves: int, k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def search(shard: pa.Table, asked: pa.Table) -> pa.Table:
-        if not len(shard) or not len(asked):
-            return schema.empty_table()
-        ids, x, leaf = shard["id"].to_numpy(), matrix(shard["v"]), shard["leaf"].to_numpy()
+    def search(shard: tuple, asked: pa.RecordBatch) -> pa.RecordBatch:
+        ids, x, edges = shard
         qid, q = asked["id"].to_numpy(), matrix(asked["v"])
         plan = np.unpackbits(np.frombuffer(b"".join(asked["plan"].to_pylist()), dtype=np.uint8).reshape(len(q), -1), axis=1)[:, :leaves].astype(bool)
-        order = np.argsort(leaf, kind="stable")
-        edges = np.searchsorted(leaf[order], np.arange(leaves + 1))
         top = TopK(len(q), k)
-        for j in range(leaves):
-            rows, visitors = order[edges[j] : edges[j + 1]], np.flatnonzero(plan[:, j])
-            for at in range(0, len(rows) if len(visitors) else 0, 4096):
-                part = rows[at : at + 4096]
-                scores = q[visitors] @ x[part].T
-                r, c = np.nonzero((scores >= top.kth[visitors][:, None]) & (ids[part][None] != qid[visitors][:, None]))
-                top.add(visitors[r], scores[r, c], ids[part][c])
-        return pa.table([pa.array(qid[top.row]), pa.array(top.id), pa.array(top.score)], schema=schema)
+        for j in np.flatnonzero(np.diff(edges)).tolist():
+            visitors = np.flatnonzero(plan[:, j])
+            for at in range(edges[j], edges[j + 1] if len(visitors) else 0, 4096):
+                to = min(at + 4096, edges[j + 1])
+                add_nearest(top, visitors, q[visitors], qid[visitors], x[at:to], ids[at:to])
+        return pa.RecordBatch.from_arrays([pa.array(qid[top.row]), pa.array(top.id), pa.array(top.score)], schema=schema)
 
     return search
 
 
 def _true_leaves(qid: np.ndarray, q: np.ndarray, k: int):
-    """Candidates for the k nearest of the calibration queries in each batch, with their leaves."""
+    """Candidates for the k nearest of the calibration queries in each task, with their leaves."""
 
     def true_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = TopK(len(q), k)
         leaf_by_id: dict[int, int] = {}
-        for b in batches:
-            if not len(b):
-                continue
-            ids, leaf, scores = b["id"].to_numpy(), b["leaf"].to_numpy(), q @ matrix(b["v"]).T
-            r, c = np.nonzero((scores >= top.kth[:, None]) & (ids[None] != qid[:, None]))
-            top.add(r, scores[r, c], ids[c])
-            leaf_by_id.update(zip(ids[c].tolist(), leaf[c].tolist()))
+        for whole in batches:
+            for at in range(0, len(whole), 4096):
+                b = whole.slice(at, 4096)
+                ids, leaf = b["id"].to_numpy(), b["place"].to_numpy()
+                c = np.unique(add_nearest(top, np.arange(len(q)), q, qid, matrix(b["v"]), ids))
+                leaf_by_id.update(zip(ids[c].tolist(), leaf[c].tolist()))
         if len(top.row):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(qid[top.row]), pa.array(top.id), pa.array(top.score), pa.array([leaf_by_id[i] for i in top.id.tolist()], pa.int32())], names=["query_id", "vec_id", "score", "leaf"]
@@ -182,9 +203,9 @@ def _true_leaves(qid: np.ndarray, q: np.ndarray, k: int):
     return true_leaves
 
 
-def calibrate(index: DataFrame, queries: DataFrame, tree: Tree, *, k: int, recall: float = RECALL, count: int = CALIBRATION) -> tuple[int, float]:
-    """(visits, recall reached) on at most count of the queries, against all rows."""
-    qid, q = bounded_sample(queries, count)
+def calibrate(index: DataFrame, queries: DataFrame, tree: Tree, *, asked: int, k: int, recall: float = RECALL, count: int = CALIBRATION) -> tuple[int, float]:
+    """(visits, recall reached) on at most count of the asked queries, against all rows."""
+    qid, q = bounded_sample(queries, count, asked)
     if not len(q):
         return 1, 1.0
     found = index.mapInArrow(_true_leaves(qid, q, k), "query_id long, vec_id long, score double, leaf int")
@@ -196,23 +217,28 @@ def calibrate(index: DataFrame, queries: DataFrame, tree: Tree, *, k: int, recal
     for i, walk in zip(qid.tolist(), tree.walks(q)):
         nth = {leaf: n for n, leaf in enumerate(walk)}
         place += [nth[leaf] for leaf in want.get(i, [])]
-    visits, place = 1, np.array(place)
-    while visits < len(tree.leaves) and len(place) and (place < visits).mean() < recall:
-        visits += max(1, visits // 8)
-    return min(visits, len(tree.leaves)), float((place < visits).mean()) if len(place) else 1.0
+    visited, place = 1, np.array(place)
+    while visited < len(tree.leaves) and len(place) and (place < visited).mean() < recall:
+        visited += max(1, visited // 8)
+    return min(visited, len(tree.leaves)), float((place < visited).mean()) if len(place) else 1.0
 
 
-def approximate_neighbours(table: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by every."""
-    rows = vectors(table, id_col=id_col, vec_col=vec_col, allow_zero=False)
-    _, fitted = bounded_sample(rows, sample)
+def approximate_neighbours(table: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, sample: int = SAMPLE, recall: float = RECALL, shard: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found for each row whose id is divisible by every, and the calibrated leaf_visits and recall."""
+    rows, total = vectors(table, id_col=id_col, vec_col=vec_col, allow_zero=False)
+    kind = rows.schema["v"].dataType.simpleString()
+    _, fitted = bounded_sample(rows, sample, total)
     tree = Tree.fit(fitted if len(fitted) else np.zeros((1, 1)))
-    index = rows.mapInArrow(_indexed(tree), "id long, v array<double>, leaf int")
-    queries = one_query_each(rows, every)
+    index = checkpointed(rows.withColumn("n", F.monotonically_increasing_id()).mapInArrow(_indexed(tree), f"id long, v {kind}, n long, place int"))
+    queries = checkpointed(one_query_each(rows, every))
     # One row a leaf: bounded by the tree.
-    counts = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
+    counts = {r["place"]: r["count"] for r in index.groupBy("place").count().collect()}
     sizes = np.array([counts.get(j, 0) for j in range(len(tree.leaves))])
-    visits, _ = calibrate(index, queries, tree, k=k, recall=recall)
-    planned = queries.mapInArrow(_planned(tree, visits, sizes, k), "id long, v array<double>, plan binary")
-    found = search_grid(index, planned, _search(len(tree.leaves), k), "query_id long, vec_id long, score double", rows=int(sizes.sum()), asked=queries.count())
-    return nearest(found, k)
+    first, subs = leaf_shards(sizes, shard or shard_rows(total))
+    visited, reached = calibrate(index, queries, tree, asked=queries.count(), k=k, recall=recall)
+    planned = queries.mapInArrow(_planned(tree, visited, sizes, first, subs, k), f"id long, v {kind}, plan binary, shards array<int>")
+    asked = planned.withColumn("shard", F.explode("shards"))
+    places = F.broadcast(table.sparkSession.createDataFrame([(j, int(a), int(n)) for j, (a, n) in enumerate(zip(first, subs))], "place int, first int, subs int"))
+    placed = index.join(places, "place").withColumn("shard", F.col("first") + sub_shard(F.col("n"), F.col("subs")))
+    found = visits(placed, asked, int((first + subs).max()), _prepare(len(tree.leaves)), _search(len(tree.leaves), k), "query_id long, vec_id long, score double")
+    return nearest(found, k).withColumns({"leaf_visits": F.lit(visited), "calibrated_recall": F.lit(reached)})

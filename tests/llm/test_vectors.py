@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from glyphmend.llm.kmeans_tree import Tree, approximate_neighbours
+from glyphmend.llm.kmeans_tree import Tree, approximate_neighbours, leaf_shards
 from glyphmend.llm.pivots import annuli, choose_pivots, exact_top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -48,7 +48,57 @@ def test_exact_top_k_odd_rows(spark):
     assert got == {0: [(8, 589824), (8, 589824), (50, 327680), (7, 0)], 50: [(8, 589824), (8, 589824), (0, 327680), (7, 0)]}
     assert exact_top_k(df.limit(0)).count() == 0
     huge = spark.createDataFrame([(0, [3e12, 1.0], 0), (1, [1e13, 2.0], 0), (2, [3e38, 0.0], 0)], SCHEMA)
-    assert [r[0] for r in results(exact_top_k(huge))[0]] == [2, 1]
+    top = 2**63 - 1
+    assert results(exact_top_k(huge)) == {0: [(2, top), (1, top)]}, "ranked by the true products, clipped after"
+    wide = spark.createDataFrame([(0, [-1e100, 2.0]), (50, [1e100, 2.0]), (1, [1e100, 3.0]), (2, [1e100, 5.0]), (3, [1e300, 1.0])], "vec_id long, embedding array<double>")
+    assert results(exact_top_k(wide)) == {0: [(2, -top - 1), (1, -top - 1), (50, -top - 1)], 50: [(2, top), (1, top), (0, -top - 1)]}
+    small = spark.createDataFrame([(0, [2.0**27, 1.0], 0), (1, [2.0**27, 2.0], 0), (2, [2.0**27, 3.0], 0)], SCHEMA)
+    assert results(exact_top_k(small)) == {0: [(2, top), (1, top)]}
+
+
+def hot_rows(clustered):
+    """The clustered rows with one id, of one vector, in a third of all rows, and another, of many vectors, in a tenth."""
+    return clustered + [(40, clustered[3][1])] * 600 + [(100, clustered[k][1]) for k in range(180)]
+
+
+def by_id(rows, every, k, scale=None):
+    """brute, where rows that share an id are the query's own, and the smallest of them asks."""
+    asks = {}
+    for i, v in rows:
+        if i % every == 0:
+            asks[i] = min(asks.get(i, v), v)
+    out = {}
+    whole = lambda v: [math.floor(scale * float(c)) if scale else float(c) for c in v]
+    fine = [(i, whole(v)) for i, v in rows]
+    for i, q in asks.items():
+        q = whole(q)
+        out[i] = [(j, -s) for s, j in sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in fine if j != i)[:k]]
+    return out
+
+
+def test_one_id_in_a_third_of_the_rows(spark, clustered):
+    rows = hot_rows(clustered)
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).repartition(7)
+    assert results(exact_top_k(df, shard=100)) == by_id(rows, 50, 5, 256)
+    got, true = results(approximate_neighbours(df, shard=100)), by_id(rows, 20, 20)
+    assert got.keys() == true.keys() and all(len(v) == 20 for v in got.values())
+    assert sum(s >= true[i][-1][1] for i, v in got.items() for _, s in v) >= 0.9 * 20 * len(true)
+    sizes = np.array([3, 500, 20, 20, 70, 1])
+    first, subs = leaf_shards(sizes, 100)
+    assert first.tolist() == [0, 1, 6, 6, 7, 7] and subs.tolist() == [1, 5, 1, 1, 1, 1]
+
+
+def test_equal_results_however_the_rows_are_partitioned(spark, clustered):
+    df = spark.createDataFrame([(i, v, 0) for i, v in hot_rows(clustered)], SCHEMA)
+    for search in (exact_top_k, approximate_neighbours):
+        first = results(search(df))
+        assert first == results(search(df.repartition(5))) == results(search(df.repartition(3).sortWithinPartitions("vec_id"), shard=50))
+
+
+def test_extra_columns_with_clashing_names(spark, clustered):
+    df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in clustered[:200]], "vec_id long, embedding array<float>, shard int, id long, v string")
+    assert results(exact_top_k(df)) == brute(clustered[:200], 50, 5, 256)
+    assert results(approximate_neighbours(df, recall=1.0)).keys() == brute(clustered[:200], 20, 20).keys()
 
 
 def test_annuli_and_pivots():
@@ -63,15 +113,24 @@ def test_tree_walk_visits_every_leaf_once():
     assert sorted(next(tree.walks(rng.normal(size=(1, 6))))) == list(range(len(tree.leaves)))
 
 
-def test_recall_of_neighbours(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    rows = [(r.vec_id, r.embedding) for r in df.collect()]
-    true, got = brute(rows, 20, 20), results(approximate_neighbours(df))
-    assert got.keys() == true.keys() and all(len(v) == 20 for v in got.values())
-    hits = sum(len({j for j, _ in got[i]} & {j for j, _ in true[i]}) for i in true)
-    assert hits >= 0.9 * 20 * len(true)
-    score = {(i, j): s for i, v in true.items() for j, s in v}
-    assert all(abs(s - score[i, j]) < 1e-12 for i, v in got.items() for j, s in v if (i, j) in score)
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_recall_of_neighbours(spark, size):
+    df = spark.read.parquet(f"/root/testdata/sf{size}/embeddings.parquet")
+    rows = df.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    out = approximate_neighbours(df)
+    got, reached = results(out), out.first().calibrated_recall
+    assert set(got) == set(ids[ids % 20 == 0].tolist()) and all(len(v) == 20 for v in got.values())
+    hits = 0
+    for i, found in got.items():
+        q = x[ids == i][0]
+        score = np.zeros(len(x))
+        for d in range(x.shape[1]):
+            score += q[d] * x[:, d]
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != i][:20]
+        hits += len({j for j, _ in found} & set(ids[order].tolist()))
+        assert all(s == score[ids == j][0] for j, s in found), "the measure, to the last bit"
+    assert hits >= 0.9 * 20 * len(got) and reached >= 0.9
 
 
 def test_neighbours_with_many_copies_and_odd_rows(spark, clustered):

@@ -12,7 +12,7 @@ from glyphmend.llm.chunks import dedup_substrings
 from glyphmend.llm.common import table
 from glyphmend.llm.extract import extract_main_text
 from glyphmend.llm.kmeans_tree import approximate_neighbours
-from glyphmend.llm.mixing import MAX_EPOCHS, WEIGHTS, mix_schedule
+from glyphmend.llm.mixing import MAX_EPOCHS, WEIGHTS, mix_documents
 from glyphmend.llm.packing import pack_documents
 from glyphmend.llm.pivots import exact_top_k
 from glyphmend.llm.sharding import minimax_shards
@@ -26,6 +26,7 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+#: Products are doubles here, exact below 2**53; beyond, the tests hold the operator against whole numbers.
 OP1_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e
@@ -33,10 +34,11 @@ with v as (
   where vec_id is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
 scored as (
-  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e) as product
   from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
-ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
-select query_id, rank, vec_id, score from ranked where rank <= 5"""
+ranked as (select *, row_number() over (partition by query_id order by product desc, vec_id)::int as rank from scored)
+select query_id, rank, vec_id, case when product >= 9223372036854775807 then 9223372036854775807 when product <= -9223372036854775808 then -9223372036854775808 else product::bigint end as score
+from ranked where rank <= 5"""
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,19 +46,15 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return (
-        mix_schedule(docs, keep=[]).groupBy("_src", "_nth", F.col("_id").alias("doc_id"))
-        .agg(F.first("_size").alias("size"), F.first("_source_size").alias("source_size"), F.first("_target").alias("target"), F.sum("_take").alias("taken"))
-        .select("doc_id", F.col("_src").alias("source"), "size", "source_size", "target", "taken")
-    )
+    return mix_documents(table(spark, sf_dir, "documents"))
 
 
 OP3_SQL = f"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
-         md5('mix:' || coalesce(doc_id::varchar, '')) as key
+         md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as key
   from documents),
+rows_ as (select doc_id, source, size, key, count(*) as n from sized group by all),
 sources as (select source, sum(size)::bigint as source_size from sized group by source),
 weighed as (
   select source, source_size, [{", ".join(f"{w}.0" for w in WEIGHTS)}][((row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)} + 1)::int] ::double as w,
@@ -72,12 +70,27 @@ targets as (
          case when is_capped then cap else w * max(case when not is_capped then level end) over () end as target
   from capped),
 placed as (
-  select s.doc_id, s.source, s.size, t.source_size, t.target,
-         sum(s.size) over (partition by s.source order by s.key, s.doc_id, s.size rows between unbounded preceding and current row) - s.size as start
-  from sized s join targets t on s.source is not distinct from t.source)
+  select s.doc_id, s.source, s.size, s.n, t.source_size, t.target,
+         sum(s.size * s.n) over (partition by s.source order by s.key, s.doc_id, s.size rows between unbounded preceding and current row) - s.size * s.n as start
+  from rows_ s join targets t on s.source is not distinct from t.source),
+occurrences as (
+  select source, target, epoch * source_size + start as begun, size * n as words
+  from (select *, unnest(range(least({MAX_EPOCHS}, greatest(1, ceil(target / source_size)))::bigint)) as epoch from placed where target > 0 and size > 0)),
+split as (
+  select *, (begun + words) / target as finish, case when begun < target and begun + words > target then floor(target - begun + 1e-6) else words end as first
+  from occurrences),
+packets as (
+  select source, begun, first as words, case when first < words then 1.0 else finish end as finish from split
+  union all select source, begun + first, words - first, finish from split where first < words),
+ranged as (
+  select *, sum(words) over (order by finish, source nulls last, begun, words rows between unbounded preceding and current row) - words as before from packets),
+cuts as (
+  select source, sum(greatest(0, least(words, (select sum(source_size) from sources) - before))) as cut from ranged group by source),
+copies as (
+  select p.*, coalesce(c.cut, 0) as cut, unnest(range(n)) as copy from placed p left join cuts c on c.source is not distinct from p.source)
 select doc_id, source, size, source_size, target,
-       ({" + ".join(f"greatest(0, least(size, floor(target - ({e} * source_size + start) + 1e-6)))" for e in range(MAX_EPOCHS))})::bigint as taken
-from placed"""
+       ({" + ".join(f"greatest(0, least(size, cut - ({e} * source_size + start + copy * size)))" for e in range(MAX_EPOCHS))})::bigint as taken
+from copies"""
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

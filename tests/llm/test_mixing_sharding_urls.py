@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmend.llm import queries as Q
-from glyphmend.llm.mixing import mix_schedule, weighted_fair_mix
+from glyphmend.llm import mixing
+from glyphmend.llm.mixing import mix_documents, weighted_fair_mix
 from glyphmend.llm.sharding import minimax_shards
 from glyphmend.llm.urls import CONTRACT_RULES, judge_urls
 
@@ -39,19 +40,46 @@ def documents(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, _src long")
 
 
-def test_mixing_reaches_its_targets(documents):
-    rows = mix_schedule(documents).collect()
-    sizes, taken, docs = {}, {}, {}
+def check_mix(rows, documents):
+    """Sizes, targets and taken words of mix_documents rows against the shares by definition."""
+    sizes, taken, shares = {}, {}, {}
     for r in rows:
-        docs.setdefault((r._src, r._nth), [r._size, 0, r._target])[1] += r._take
-    for (s, _), (size, take, _) in docs.items():
-        sizes[s], taken[s] = sizes.get(s, 0) + size, taken.get(s, 0) + take
-        assert 0 <= take <= 3 * size
+        sizes[r.source], taken[r.source] = sizes.get(r.source, 0) + r.size, taken.get(r.source, 0) + r.taken
+        shares.setdefault(r.source, set()).add((r.source_size, r.target))
+        assert 0 <= r.taken <= 3 * r.size
     want = targets(sizes)
-    assert len(docs) == documents.count()
+    assert sorted((r.doc_id or -1, r.size) for r in rows) == sorted((r.doc_id or -1, count(r.text)) for r in documents.collect())
+    assert sum(taken.values()) == sum(sizes.values()), "the budget"
     for s in sizes:
-        assert abs(taken[s] - want[s]) < 1 + 1e-6
-        assert all(abs(d[2] - want[s]) < 1e-6 for (x, _), d in docs.items() if x == s)
+        # The closed form: each source is cut at its target; whole words of all sources are left over.
+        assert abs(taken[s] - want[s]) < len(sizes) + 1e-6
+        assert len(shares[s]) == 1 and all(n == sizes[s] and abs(t - want[s]) < 1e-6 for n, t in shares[s])
+
+
+def test_mixing_reaches_its_targets(documents):
+    check_mix(mix_documents(documents).collect(), documents)
+
+
+def test_mix_against_a_queue(spark, documents, monkeypatch):
+    """Sources and words one by one: the packet of the least finish time is served next, until the budget is spent."""
+    monkeypatch.setattr(mixing, "RUN_ROWS", 16)
+    placed, _, cuts, _ = mixing._plan(documents, text_col="text", id_col="doc_id", source_col="source", weights=(5, 2, 1), max_epochs=3, seed="mix")
+    rows = sorted(mixing.packets(placed).collect(), key=lambda p: (p.finish, p.src is None, p.src or "", p.begun, p.words))
+    left, served = sum(count(r.text) for r in documents.collect()), {}
+    for p in rows:
+        served[p.src] = served.get(p.src, 0) + min(left, p.words)
+        left -= min(left, p.words)
+    assert left == 0 and {r.src: r.cut for r in cuts.collect()} == served
+
+
+def test_mixing_one_row_or_id_in_a_third_of_the_table(spark, documents):
+    same, shared = [(77, "the same row each time", "a", 0)] * 6000, [(None, f"words of text {i}", "b", i) for i in range(3000)]
+    long = [(9000, "w " * 200_000, "c", 0), (9001, "w\u00a0x " * 3000, "d", 0)]
+    docs = documents.unionByName(spark.createDataFrame(same + shared + long, documents.schema))
+    rows = mix_documents(docs).collect()
+    check_mix(rows, docs)
+    key = lambda r: (r.doc_id or -1, r.source or "", r.size, r.taken)
+    assert sorted(map(key, rows)) == sorted(map(key, mix_documents(docs.repartition(9)).collect()))
 
 
 def test_mix_repeats_rows_and_is_stable(documents):
@@ -59,9 +87,14 @@ def test_mix_repeats_rows_and_is_stable(documents):
     assert mixed.columns == documents.columns
     first, again = mixed.collect(), weighted_fair_mix(documents.repartition(5)).collect()
     assert first == again
-    rows = mix_schedule(documents).collect()
-    assert sum(count(r.text) for r in first) == sum(r._take for r in rows)
-    assert weighted_fair_mix(documents.limit(0)).count() == 0
+    rows = mix_documents(documents).collect()
+    words = {}
+    for r in rows:
+        words[r.doc_id] = words.get(r.doc_id, 0) + r.taken
+    for r in first:
+        words[r.doc_id] -= count(r.text)
+    assert not any(words.values())
+    assert weighted_fair_mix(documents.limit(0)).count() == 0 and mix_documents(documents.limit(0)).count() == 0
 
 
 def minimax(sizes, shards):

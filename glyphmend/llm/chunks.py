@@ -13,12 +13,13 @@ A passage kept nowhere cannot arise: what is cut has an earlier equal.
 
 Scale: a map task keeps one run of each digest a batch, packs them by bucket into binary columns, and
 only those 18 bytes a run are shuffled; its later runs leave at once as joined spans.  So a passage in a
-third of all documents costs its bucket one run a batch.  Texts
-are shuffled once, to meet their cut spans.
+third of all documents costs its bucket one run a batch.  Buckets are counted by the bytes of all texts, so
+that one holds the runs of about ``BUCKET_BYTES`` of text.  Texts are shuffled once, to meet their cut spans.
 
 Defined cases: null and empty texts stay; repeated rows (same id, same text) are one document and are
-treated alike; texts shorter than the least run stay whole; null ids come last; an empty table gives
-an empty result; other columns are kept.
+treated alike; texts shorter than the least run stay whole; very long texts are read whole, and a text without a
+chunk end (one letter, no white space) is one run of any length; null ids come last; an empty table gives
+an empty result; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -95,6 +96,9 @@ _DOC = [("null", "u1"), ("id", "<i8"), ("text", "<i8")]
 _RUN = np.dtype([("digest", "<u8"), *_DOC, ("start", "<u4"), ("len", "<u4")])
 _PACKED = np.dtype([("digest", "<u8"), ("doc", "<u2"), ("start", "<u4"), ("len", "<u4")])
 _SPAN = np.dtype([*_DOC, ("start", "<u4"), ("len", "<u4")])
+#: Text whose runs a bucket should hold: they are sorted in memory, at about 60 bytes a run of some 24 bytes of text.
+BUCKET_BYTES = 32 << 20
+LEAST_BUCKETS = 48
 #: Documents in a pack at most; their numbers in it fit 16 bits.
 PER_PACK = 1 << 12
 
@@ -213,7 +217,9 @@ def _later(table: pa.Table) -> pa.Table:
 
 def later_runs(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", buckets: int | None = None) -> DataFrame:
     """sid, stext (xxhash64 of the text), start, end: byte spans of every run that an earlier place has."""
-    buckets = buckets or max(48, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        buckets = max(LEAST_BUCKETS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
     packs = rows.mapInArrow(_pack(buckets), "bucket int, docs binary, runs binary, spans binary")
     return packs.groupBy("bucket").applyInArrow(_later, "sid long, stext long, start long, end long")

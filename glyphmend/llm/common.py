@@ -18,12 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where none is configured (tests, local runs).
+    A folder of our own is set only where none is configured and all runs on this machine (tests); a cluster
+    without one is an error, as executors would lose what they wrote.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphmend-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glyphmend-"))
     return df.checkpoint()
 
 

@@ -2,16 +2,21 @@
 
 Rows are ordered by (group, sub-run, id); a group (here: equal texts) is atomic.  The smallest
 shard capacity is found by binary search, each candidate checked greedily over the ordered group
-sizes, and the cuts are made there.  The driver never holds the groups: it holds at most
-``SEGMENTS`` contiguous segments of the key range.  Cuts that fall into a segment of several
-groups bound the capacity from both sides; those segments alone are split finer (``zoom``) until
-no segment that a cut can touch holds more than one group, which makes the answer exact.  Where one
+sizes, and the cuts are made there.  The driver never holds the groups, but contiguous segments of the
+key range: 4,096 at first, and at most ``SEGMENTS`` more a round.  Cuts that fall into a segment of several
+groups bound the capacity from both sides; those segments alone are split finer, by one digit a round, until
+no segment that a cut can touch holds more than one group, which makes the answer exact.  As keys are digests, a
+digit or two after the first three are enough.  Where one
 group alone sets the capacity it has a shard of its own, and the stretches before and after it are
 partitioned in the same way over the other shards, so that they stay near equal below it.
 
+Rows equal in id and text are one row with a count, and a group's rows are numbered in sub-runs of about ``SUB_ROWS``,
+so neither a repeated row nor a text in a third of the table is one task's work.
+
 Defined cases: null texts are one group, first in order, of size 8 a row; empty texts are another;
-repeated rows share a group; an empty table gives an empty result; null ids come first in a group.
-Fewer groups than shards leave shards empty.
+repeated rows share a group and have slots of their own; very long texts are read whole; an empty table gives an
+empty result; null ids come first in a group.  Fewer groups than shards leave shards empty.  Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +29,10 @@ from pyspark.sql import functions as F
 
 from glyphmend.llm.common import checkpointed
 
-#: Sub-runs of each group by hash of the id, so that a huge group is numbered by many tasks.
-SUBS = 64
+#: Rows that a sub-run of a group (by hash of the id) should hold, and the least number of sub-runs.
+SUB_ROWS, SUBS = 1 << 16, 64
+#: Copies of a row that one row of the last step stands for at most.
+CHUNK = 1 << 12
 #: Most segments that one look at the groups brings to the driver.
 SEGMENTS = 1 << 14
 ROW_BYTES = 8
@@ -150,20 +157,20 @@ def _coarse_cuts(parts: list[Segment], sums: list[int], capacity: int, shards: i
 
 
 def minimax_shards(
-    docs: DataFrame, shards: int, *, text_col: str = "text", id_col: str = "doc_id", group_key: Column | None = None, subs: int = SUBS, segments: int = SEGMENTS,
+    docs: DataFrame, shards: int, *, text_col: str = "text", id_col: str = "doc_id", group_key: Column | None = None, sub_rows: int = SUB_ROWS, segments: int = SEGMENTS,
 ) -> DataFrame:
     """id, size, text_crc32, shard int, slot long for each row of docs; at most one shard a group, sizes near equal."""
     text = F.col(text_col)
-    rows = checkpointed(
-        docs.select(
-            F.col(id_col).alias("_id"),
-            (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("_size"),
-            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("_crc"),
-            (group_key if group_key is not None else F.coalesce(F.md5(text.cast("binary")), F.lit("0" * 32))).alias("_key"),
-            F.pmod(F.xxhash64(F.col(id_col)), F.lit(subs)).cast("int").alias("_sub"),
-        )
+    rows = docs.select(
+        F.col(id_col).alias("_id"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("_size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("_crc"),
+        (group_key if group_key is not None else F.coalesce(F.md5(text.cast("binary")), F.lit("0" * 32))).alias("_key"),
     )
-    runs = rows.groupBy("_key", "_sub").agg(F.sum("_size").alias("_rsize"), F.count(F.lit(1)).alias("_rcount"))
+    rows = checkpointed(rows.groupBy("_id", "_size", "_crc", "_key").agg(F.count(F.lit(1)).alias("_n")))
+    subs = max(SUBS, -(-rows.count() // sub_rows))
+    rows = rows.withColumn("_sub", F.pmod(F.xxhash64("_id"), F.lit(subs)).cast("int"))
+    runs = rows.groupBy("_key", "_sub").agg(F.sum(F.col("_size") * F.col("_n")).alias("_rsize"), F.sum("_n").alias("_rcount"))
     groups = checkpointed(runs.groupBy("_key").agg(F.sum("_rsize").alias("_gsize"), F.sum("_rcount").alias("_gcount")))
     starts, _ = minimax_cuts(groups, shards, segments=segments)
     # A cut is a prefix of keys: a key belongs to the last shard whose first prefix is not beyond it.
@@ -181,9 +188,11 @@ def minimax_shards(
         .join(buckets, (F.col("_shard") == F.col("_bshard")) & (F.col("_bucket") == F.col("_b")))
         .select(F.col("_key").alias("_rkey"), F.col("_sub").alias("_rsub"), "_shard", (F.col("_before") + F.col("_inside")).alias("_first"))
     )
-    nth = F.row_number().over(Window.partitionBy("_key", "_sub").orderBy(F.col("_id").asc_nulls_first(), "_size"))
-    return (
-        rows.withColumn("_nth", nth)
-        .join(placed, (F.col("_key") == F.col("_rkey")) & (F.col("_sub") == F.col("_rsub")))
-        .select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_shard").alias("shard"), (F.col("_first") + F.col("_nth") - 1).cast("long").alias("slot"))
+    upto = Window.partitionBy("_key", "_sub").orderBy(F.col("_id").asc_nulls_first(), "_size").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_nth", F.sum("_n").over(upto) - F.col("_n")).join(placed, (F.col("_key") == F.col("_rkey")) & (F.col("_sub") == F.col("_rsub")))
+    chunks = found.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / CHUNK)))).repartition("_key", "_id", "_chunk")
+    first = F.col("_chunk") * CHUNK
+    each = chunks.withColumn("_copy", F.explode(F.sequence(first, F.least(F.col("_n"), first + CHUNK) - 1)))
+    return each.select(
+        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_shard").alias("shard"), (F.col("_first") + F.col("_nth") + F.col("_copy")).cast("long").alias("slot")
     )

@@ -13,7 +13,8 @@
 Bounds: the tree (``SAMPLE`` rows at most) is the only thing on the driver.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; fewer words than
-a shingle: the whole sequence is hashed; repeated rows and ids stay rows of their own; null ids never
+a shingle: the whole sequence is hashed; very long texts are read whole, their shingles in pieces; a bit set in just
+half of the shingles is 0; repeated rows and ids stay rows of their own; null ids never
 name a group while another id is there; an empty table gives an empty result; other columns are ignored.
 """
 

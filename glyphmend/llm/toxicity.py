@@ -3,12 +3,16 @@
 Features: presence of hashed character n-grams (``ORDERS``) in the whole lower-cased text, white space
 collapsed.  Training, on a bounded sample of labelled rows (``MAX_ROWS`` a class, by order of a hash, in
 one task): log-count ratios r of every n-gram, the ``KEEP`` n-grams of largest |r| in its standard errors,
-then an L2-regularised logistic regression on the features scaled by r.  The model is a table of ``SLOTS``
+then an L2-regularised logistic regression on the features scaled by r.  Where no n-gram is ``LEAST_Z`` errors off, the
+bar is at nine tenths of the best: of 68 labelled rows with 10 toxic ones the best is 3.3 errors off, of 329 rows with
+45 toxic ones 127 n-grams pass the bar, so only fits on a few dozen rows meet this case.  The model is a table of ``SLOTS``
 float32 weights, broadcast; scoring is one map over the texts, without a shuffle.
 
 Defined cases: null and empty texts get the score of a text without features; without labelled rows, or
 with one class only, every score is the share of that class (0 without rows); repeated or contradictory
-labels: the larger label counts; very long texts are read whole, in pieces; other columns are kept.
+labels: the larger label counts; rows of docs that share a labelled id: the smallest text is learnt from, each is
+scored by its own; repeated rows score alike; very long texts are read whole, in pieces; an empty table gives an empty
+result; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations

@@ -9,10 +9,12 @@ over ``threshold`` times its trust; a host that neither reaches is allowed.
 
 Scale: link counts and seeds are summed per host before any shuffle of pages, so a host with a third
 of all pages costs one partial row a task; the verdict join carries page ids only and is salted.
-Iterations work on hosts; lineage is cut by checkpoint().
+Iterations work on hosts; a host that most others link to is salted there, by the other end of its links.  Lineage
+is cut by checkpoint().
 
 Defined cases: null urls and urls without ``://`` have empty host and path, get no rule and are
-allowed; null html has no links; repeated pages count repeatedly; an empty table gives an empty result.
+allowed; null html has no links; very long urls and html are read whole; repeated pages count repeatedly; ties of
+trust and distrust are allowed; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ HREF_RE = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 DAMPING = 0.85
 ITERATIONS = 8
 THRESHOLD = 1.0
-#: Copies of each host's verdict, met by the pages' salt.
+#: Copies of each host's verdict and scores, met by the salt of the pages and links.
 SALTS = 16
 
 
@@ -105,20 +107,21 @@ def host_seeds(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return counts.join(totals, F.col("kind") == F.col("tkind")).select("kind", "host", (F.col("n") / F.col("of")).alias("mass"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, *, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, *, damping: float = DAMPING, iterations: int = ITERATIONS, salts: int = SALTS) -> DataFrame:
     """kind, host, score: ``iterations`` rounds of score = (1 - damping) * seed + damping * what comes in."""
     back = links.join(links.groupBy(F.col("dst").alias("odst")).agg(F.sum("share").alias("of")), F.col("dst") == F.col("odst"))
     edges = checkpointed(
         links.select(F.lit("trust").alias("ekind"), F.col("src").alias("at"), F.col("dst").alias("to"), "share").unionByName(
             back.select(F.lit("distrust").alias("ekind"), F.col("dst").alias("at"), F.col("src").alias("to"), (F.col("share") / F.col("of")).alias("share"))
-        )
+        ).withColumn("salt", F.pmod(F.xxhash64("to"), F.lit(salts)).cast("int"))
     )
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     seeds = checkpointed(seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("score")))
     if edges.isEmpty():
         return seeds
     scores = seeds
     for k in range(iterations):
-        sent = scores.join(edges, (F.col("kind") == F.col("ekind")) & (F.col("host") == F.col("at"))).select(
+        sent = scores.withColumn("ssalt", every).join(edges, (F.col("kind") == F.col("ekind")) & (F.col("host") == F.col("at")) & (F.col("ssalt") == F.col("salt"))).select(
             "kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score")
         )
         scores = seeds.unionByName(sent).groupBy("kind", "host").agg(F.sum("score").alias("score"))
@@ -134,7 +137,7 @@ def judge_urls(
     """id, host, path, rule (its host and path, or null), verdict, trust, distrust for each row of pages."""
     known = parsed(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html")), rules, url_col="_url")
     links = host_links(known.select("_host", "_html"), html_col="_html")
-    scores = propagate(host_seeds(known.select("_host", "_rule"), rules), links, damping=damping, iterations=iterations)
+    scores = propagate(host_seeds(known.select("_host", "_rule"), rules), links, damping=damping, iterations=iterations, salts=salts)
     by_host = (
         scores.groupBy(F.col("host").alias("_jhost"))
         .agg(

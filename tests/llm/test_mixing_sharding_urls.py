@@ -175,3 +175,27 @@ def test_shards_are_near_equal_beside_a_large_group(spark, share):
     rest = sorted(sizes.values())[:-1]
     assert len(sizes) == 24
     assert rest[-1] <= 1.1 * sum(rest) / 23 and rest[0] >= 0.5 * sum(rest) / 23
+
+
+def test_shards_of_one_row_in_a_third_of_the_table(spark):
+    rows = [(i, f"text {i}", "b", 0) for i in range(600)] + [(7, "the same row", "s", 1)] * 9000 + [(None, "w " * 100_000, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, slot long")
+    out = minimax_shards(docs, 24, sub_rows=50).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.size) for r in out) == sorted((-1 if i is None else i, len(t) + 8) for i, t, _, _ in rows)
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in out if r.doc_id == 7 and r.size == 20}) == 1
+
+
+def test_a_host_that_all_link_to(spark):
+    rows = [(i, f"http://h{i}.org/x", "<a href='http://hub.org/'>x</a><a href='http://example.net/'>y</a>", i, "s") for i in range(300)]
+    rows += [(1000, "http://hub.org/es/1", "<a href='http://h3.org/'>x</a>", 1, "s"), (1001, "http://example.net/de/1", None, 2, "t"), (1002, "http://x.org/" + "y" * 100_000, "z" * 200_000, 3, "u")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host long, salt string")
+    con = duckdb.connect()
+    con.register("pages", pages.select("page_id", "url", "html").toPandas())
+    want = sorted(tuple(r) for r in con.execute(Q.oracle_sql()["op5_url_filter"]).fetchall())
+    for salts in (1, 16):
+        got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict, r.trust, r.distrust) for r in judge_urls(pages, CONTRACT_RULES, salts=salts).collect())
+        assert [g[:5] for g in got] == [w[:5] for w in want] and all(abs(g[k] - w[k]) < 1e-9 for g, w in zip(got, want) for k in (5, 6))

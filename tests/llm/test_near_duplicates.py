@@ -1,11 +1,13 @@
+import bisect
 import random
+import re
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from glyphmend.llm import simhash
+from glyphmend.llm import chunks, simhash
 from glyphmend.llm.chunks import boundaries, dedup_substrings, runs
 from glyphmend.llm.components import components
 
@@ -73,6 +75,13 @@ def test_near_duplicates_against_brute_force(spark, sf):
     assert sorted(r.doc_id for r in kept) == sorted(set(slow_components(fps).values()))
 
 
+def test_fingerprint_of_a_very_long_text(monkeypatch):
+    text = " ".join(f"w{i % 977}" for i in range(3 * 1000 + 5))
+    whole = slow_fingerprint(text)
+    monkeypatch.setattr(simhash, "CHUNK", 1000)
+    assert simhash.fingerprint(text) == whole
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(1, "a b c d", "x"), (2, "A b c  d", "y"), (2, "A b c  d", "y"), (None, "a b c d", "z"), (3, None, "u"), (4, "", None), (None, "q r s t u", "v"), (None, "q r s t u", "v")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
@@ -105,6 +114,57 @@ def test_boundaries_come_back_after_an_insertion():
     assert set(a[a > 8].tolist()) <= set(b.tolist())
 
 
+def slow_runs(text):
+    """(bytes, start, end) of every run by its definition, byte by byte."""
+    raw, h, last, cuts = text.encode(), 0, -1, [0]
+    blank = lambda b: b == 32 or 9 <= b <= 13
+    for i in range(len(raw) - 1):
+        h = (2 * h + int(chunks.GEAR[raw[i]])) % (1 << 16)
+        last = i if blank(raw[i]) else last
+        word = blank(raw[i]) and not blank(raw[i + 1]) and h % 256 < chunks.CUT
+        inside = i - last > chunks.STRETCH and raw[i + 1] & 0xC0 != 0x80 and h % 256 < chunks.CUT_INSIDE
+        if word or inside:
+            cuts.append(i + 1)
+    if raw:
+        cuts.append(len(raw))
+    out, starts = [], [m.start() for m in re.finditer(rb"[^ \t-\r]+", raw)]
+    for i, a in enumerate(cuts):
+        for z in cuts[i + 1 :]:
+            if bisect.bisect_left(starts, z) - bisect.bisect_left(starts, a) >= chunks.MIN_WORDS or z - a >= chunks.MIN_BYTES:
+                out.append((raw[a:z], a, z))
+                break
+    return out
+
+
+def slow_cuts(rows):
+    """{(id, text): the text without runs that an earlier place has}, in order of id (null last), text digest, position."""
+    seen, out = {}, {}
+    order = lambda r: (r[0] is None, r[0] or 0, chunk_hash(r[1]))
+    for i, text in sorted({r for r in rows if r[1]}, key=order):
+        raw, gone = text.encode(), set()
+        for run, a, z in slow_runs(text):
+            if seen.setdefault(run, (i, text, a)) != (i, text, a):
+                gone.update(range(a, z))
+        out[i, text] = bytes(b for k, b in enumerate(raw) if k not in gone).decode() if gone else text
+    return out | {(i, t): t for i, t in rows if not t}
+
+
+def chunk_hash(text):
+    """The signed 64-bit digest by which texts of one id are ordered (Spark's xxhash64, seed 42)."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_substring_dedup_against_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(i + 100_000, t) for i, t in rows[:20]] + [(rows[5][0], rows[6][1] + " and more"), (None, rows[7][1]), (None, "x " + rows[8][1])]
+    want = slow_cuts(rows)
+    for parts in (3, 8):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "text")
+        out = dedup_substrings(docs, buckets=5).collect()
+        assert sorted((str(r.doc_id), r.text or "") for r in out) == sorted((str(i), want[i, t] or "") for i, t in rows)
+
+
 def test_repeated_passages_are_cut_once(spark):
     rng = random.Random(5)
     passages = [words(rng, 60) for _ in range(30)]

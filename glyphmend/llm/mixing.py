@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from glyphmend.llm.common import WORD_RE, checkpointed, unpacked, whole_row
 
 RUN_ROWS = 1 << 16
-LEAST_RUNS = 16
+LEAST_RUNS = 256
 #: Copies of a row that one row of the result's last step stands for at most.
 CHUNK = 1 << 12
 WEIGHTS = (5, 2, 1)

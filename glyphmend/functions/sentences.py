@@ -18,8 +18,11 @@ AZ_LETTERS = "abcçdeəfgğhxıijkqlmnoöprsştuüvyzABCÇDEƏFGĞHXIİJKQLMNOÖ
 ASCII_LETTERS = "a-zA-Z"
 MARKUP = r"[|={}\[\]<>]"
 LEAST_CHARS, MOST_CHARS, LEAST_WORDS, LEAST_LETTERS = 20, 300, 4, 0.6
-#: Letters from which a text without ə is taken for another language.
-LETTERS_FOR_SCHWA = 25
+#: Letters from which a text without the commonest marked letter is taken for another language.
+LETTERS_FOR_LACK = 25
+# Where a text is cut, and the word before a dot.
+BOUNDARY = r"(?<=[.!?…])[ \t]+|\n+"
+LAST_WORD = r"([^\s.]+)\.\s*$"
 
 SPACE = "[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
@@ -35,18 +38,19 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 
 def normalize(c: Column) -> Column:
-    """Collapsed white space and Unicode NFC."""
-    return _nfc(collapse(c))
+    """Collapsed white space and Unicode NFC; only texts with a character that NFC can change (U+0300 on) leave the JVM."""
+    flat = collapse(c)
+    return F.coalesce(_nfc(F.when(flat.rlike(r"[^\x{0}-\x{2ff}]"), flat)), flat)
 
 
 def ends_with_abbreviation(piece: Column) -> Column:
-    word = F.regexp_extract(piece, r"([^\s.]+)\.\s*$", 1)
+    word = F.regexp_extract(piece, LAST_WORD, 1)
     return (word != "") & ((F.length(word) <= 1) | F.lower(word).isin(*ABBREVIATIONS))
 
 
 def sentences(texts: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """id, sent_pos, sentence: pieces between sentence ends or line ends, glued after abbreviations."""
-    cut = F.split(F.col(text_col), r"(?<=[.!?…])[ \t]+|\n+")
+    cut = F.split(F.col(text_col), BOUNDARY)
     raw = texts.select(F.col(id_col), F.posexplode(cut).alias("at", "raw")).withColumn("piece", F.regexp_replace("raw", rf"^{SPACE}|{SPACE}$", "")).where("piece <> ''")
     upto = Window.partitionBy(id_col).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     done = raw.withColumn("sent_pos", F.coalesce(F.sum(F.when(ends_with_abbreviation(F.col("piece")), 0).otherwise(1)).over(upto), F.lit(0)))
@@ -55,7 +59,7 @@ def sentences(texts: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
 
 
 def is_usable(s: Column) -> Column:
-    """Prose that a person could have written; cheap tests first."""
+    """Length, words, markup, first letter, share of letters and alphabet are within the bounds of prose."""
     letters = F.regexp_count(s, F.lit(r"\p{L}"))
     return (
         F.length(s).between(LEAST_CHARS, MOST_CHARS)
@@ -78,5 +82,5 @@ def split_name(name: Column, dev: int = 5, test: int = 10) -> Column:
     return F.when(b < dev, "dev").when(b < test, "test").otherwise("train")
 
 
-def lacks_schwa(s: Column, letter: str = "ə") -> Column:
-    return (F.regexp_count(s, F.lit(r"\p{L}")) >= LETTERS_FOR_SCHWA) & ~az_lower(s).contains(letter)
+def lacks_letter(s: Column, letter: str = "ə") -> Column:
+    return (F.regexp_count(s, F.lit(r"\p{L}")) >= LETTERS_FOR_LACK) & ~az_lower(s).contains(letter)

@@ -16,13 +16,28 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), 0)
 
 
-def pieces(texts: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+def _around(keys: Column) -> tuple[Column, Column]:
+    """The arrays of the keys before and after each key, with the sentinels."""
+    return F.concat(F.array(F.lit(START)), keys), F.concat(F.slice(keys, 2, F.greatest(F.size(keys), F.lit(1))), F.array(F.lit(END)))
+
+
+def pieces(texts: DataFrame, *, id_col: str, text_col: str, beside: dict[str, str] | None = None, outer: bool = False, neighbours: bool = False) -> DataFrame:
     """id, pos, gap (what stands before the word), word; the last row's gap ends the text, its word is null.
 
-    Gaps and words are zipped before the explode, so no array is carried beside its own elements.
+    beside: further columns, name to column of a text whose words stand at the same places.  outer: a null text is one
+    row without gap and word.  neighbours: key, left and right as in ``with_neighbours``, found inside the text.  Gaps and
+    words are zipped before the explode, so no array is carried beside its own elements.
     """
-    zipped = F.arrays_zip(F.split(F.col(text_col), WORD, -1).alias("gap"), words_of(F.col(text_col)).alias("word"))
-    return texts.select(F.col(id_col), F.posexplode(zipped).alias("pos", "p")).select(id_col, "pos", F.col("p.gap").alias("gap"), F.col("p.word").alias("word"))
+    arrays = {"gap": F.split(F.col(text_col), WORD, -1), "word": words_of(F.col(text_col))} | {name: words_of(F.col(c)) for name, c in (beside or {}).items()}
+    rows = texts.select(F.col(id_col), *[a.alias(f"_{name}") for name, a in arrays.items()])
+    names = list(arrays)
+    if neighbours:
+        rows = rows.withColumn("_key", F.transform("_word", key_of))
+        left, right = _around(F.col("_key"))
+        rows, names = rows.withColumns({"_left": left, "_right": right}), [*names, "key", "left", "right"]
+    zipped = F.arrays_zip(*[F.col(f"_{name}").alias(name) for name in names])
+    rows = rows.select(id_col, (F.posexplode_outer if outer else F.posexplode)(zipped).alias("pos", "p"))
+    return rows.select(id_col, "pos", *[F.col(f"p.{name}").alias(name) for name in names])
 
 
 def tokens(texts: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
@@ -31,18 +46,28 @@ def tokens(texts: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("form", az_lower(F.col("word"))).withColumn("key", key_of(F.col("word")))
 
 
-def spans(texts: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """id, pos, start, end (code points), word, gap."""
+def neighboured(texts: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """tokens with left and right, the keys beside, found inside the text: nothing is shuffled or sorted."""
+    rows = pieces(texts, id_col=id_col, text_col=text_col, neighbours=True).where("word is not null").drop("gap")
+    return rows.withColumn("form", az_lower(F.col("word")))
+
+
+def spans(rows: DataFrame, *, id_col: str) -> DataFrame:
+    """The rows of ``pieces`` that have a word, with start and end (code points); other columns are kept."""
     before = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = pieces(texts, id_col=id_col, text_col=text_col)
     ends = F.sum(F.length("gap") + F.coalesce(F.length("word"), F.lit(0))).over(before)
-    return rows.withColumn("end", ends.cast("long")).where("word is not null").withColumn("start", F.col("end") - F.length("word")).select(id_col, "pos", "start", "end", "word", "gap")
+    return rows.withColumn("end", ends.cast("long")).where("word is not null").withColumn("start", F.col("end") - F.length("word"))
+
+
+def text_spans(texts: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """id, pos, start, end (code points), word, gap."""
+    return spans(pieces(texts, id_col=id_col, text_col=text_col), id_col=id_col).select(id_col, "pos", "start", "end", "word", "gap")
 
 
 def with_neighbours(rows: DataFrame, *, id_col: str) -> DataFrame:
-    """Adds left and right, the keys of the words beside, or the sentinels."""
+    """Adds left and right, the keys of the words beside, or the sentinels; a row without a word ends its text."""
     w = Window.partitionBy(id_col).orderBy("pos")
-    return rows.withColumn("left", F.lag("key", 1, START).over(w)).withColumn("right", F.lead("key", 1, END).over(w))
+    return rows.withColumn("left", F.lag("key", 1, START).over(w)).withColumn("right", F.coalesce(F.lead("key", 1).over(w), F.lit(END)))
 
 
 def joined(rows: DataFrame, *, id_col: str, word_col: str, out: str) -> DataFrame:

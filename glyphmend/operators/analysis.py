@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from glyphmend.functions.letters import az_lower, case_of, characters, is_all_capitals, is_upper, key_of, strip_diacritics
 from glyphmend.functions.words import words_of
-from glyphmend.operators.lexicon import ambiguous_keys, best_forms, dominant_forms
+from glyphmend.operators.lexicon import ambiguous_keys, key_facts
+from glyphmend.operators.stored import small, stored
 
 FOLDABLE_KEY = "[cegiosu]"
 # The letters that a plain keyboard lacks.
@@ -22,15 +23,13 @@ def capitals(words: DataFrame) -> DataFrame:
 
 def error_kinds(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """kind, words, errors: by case, and overlapping them by what training knows of the word."""
-    known = best_forms(lexicon).select("key", F.lit(1).alias("known"))
-    unsure = ambiguous_keys(lexicon).select("key", F.lit(1).alias("unsure"))
-    usual = dominant_forms(lexicon).select("key", F.col("form").alias("usual"))
-    rows = words.where(F.col("key").rlike(FOLDABLE_KEY)).join(known, "key", "left").join(unsure, "key", "left").join(usual, "key", "left")
+    facts = small(stored(key_facts(lexicon).select(F.col("key").alias("_key"), "is_ambiguous", "usual")))
+    rows = words.where(F.col("key").rlike(FOLDABLE_KEY)).join(facts, F.col("key") == F.col("_key"), "left")
     wrong = F.col("expected") != F.col("produced")
     kinds = F.array_compact(
         F.array(
             case_of(F.col("expected"), F.col("pos") == 0),
-            F.when(F.col("known").isNull(), "never seen in training").when(F.col("unsure") == 1, "ambiguous"),
+            F.when(F.col("_key").isNull(), "never seen in training").when(F.col("is_ambiguous"), "ambiguous"),
             F.when(wrong & (F.col("usual") == az_lower(F.col("produced"))), "wrote the usual spelling"),
             F.when(wrong, "all"),
         )
@@ -38,6 +37,14 @@ def error_kinds(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return rows.select(F.explode(kinds).alias("kind"), wrong.cast("long").alias("wrong")).groupBy("kind").agg(F.count(F.lit(1)).alias("words"), F.sum("wrong").alias("errors"))
 
 
+def kind_shares(kinds: DataFrame) -> DataFrame:
+    """kind, words, errors with share_of_words, share_of_errors and rate; the kind ``all`` has the errors of all words."""
+    # The totals are one row.
+    sums = kinds.agg(F.max(F.when(F.col("kind") == "all", F.col("errors"))).alias("all_errors"), F.sum(F.when(F.col("kind").rlike("^(all capitals|capitalised, .*|lowercase)$"), F.col("words"))).alias("all_words"))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
+    return kinds.join(F.broadcast(sums)).select("kind", "words", "errors", share("words", "all_words").alias("share_of_words"), share("errors", "all_errors").alias("share_of_errors"), share("errors", "words").alias("rate"))
+
+
 def mistakes(words: DataFrame, limit: int = 50) -> DataFrame:
     rows = words.where((F.col("expected") != F.col("produced")) & F.col("key").rlike(FOLDABLE_KEY))
     counts = rows.groupBy(az_lower(F.col("expected")).alias("expected"), az_lower(F.col("produced")).alias("produced")).agg(F.count(F.lit(1)).alias("n"))
@@ -81,7 +88,7 @@ def name_rules(pairs: DataFrame, names: DataFrame, lexicon: DataFrame, *, least:
 
 
 def letter_histogram(texts: DataFrame, *, text_col: str) -> DataFrame:
-    """letter, n over az-lowered letters; counted per text first, so that few rows leave each task."""
+    """letter, n over az-lowered letters; partial counts leave each task."""
     chars = texts.select(F.explode(characters(az_lower(F.col(text_col)))).alias("letter"))
     return chars.where(F.col("letter").rlike(r"\p{L}")).groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
 
@@ -93,7 +100,7 @@ def text_stats(texts: DataFrame, *, text_col: str) -> DataFrame:
         F.count(F.lit(1)).alias("sentences"), F.coalesce(F.sum(F.size(words_of(F.col(text_col)))), F.lit(0)).cast("long").alias("words"),
         F.coalesce(F.sum(F.regexp_count(lower, F.lit(r"\p{L}"))), F.lit(0)).cast("long").alias("letters"),
         F.coalesce(F.sum(F.regexp_count(lower, F.lit(f"[{MISSING}]"))), F.lit(0)).cast("long").alias("missing"),
-        F.coalesce(F.sum(F.regexp_count(lower, F.lit("ə"))), F.lit(0)).cast("long").alias("schwa"),
+        F.coalesce(F.sum(F.regexp_count(lower, F.lit("ə"))), F.lit(0)).cast("long").alias("e_turned"),
     )
     ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
     return sums.select("*", ratio("words", "sentences").alias("words_per_sentence"), ratio("missing", "letters").alias("missing_share"))

@@ -32,18 +32,19 @@ def whatsapp_messages(lines: DataFrame, *, line_col: str = "line", pos_col: str
 
 
 def telegram_messages(exports: DataFrame, *, json_col: str = "json") -> DataFrame:
-    """pos, author, text of written, not forwarded messages; a text is a string or an array of strings and objects."""
-    schema = "struct<messages:array<string>>"
-    rows = exports.select(F.posexplode(F.from_json(F.col(json_col), schema)["messages"]).alias("pos", "m"))
-    get = lambda name: F.get_json_object("m", f"$.{name}")
-    parts = F.from_json(get("text"), "array<string>")
-    piece = F.transform(parts, lambda p: F.when(p.startswith("{"), F.coalesce(F.get_json_object(p, "$.text"), F.lit(""))).otherwise(p))
-    text = F.when(get("text").startswith("["), F.array_join(piece, "")).otherwise(F.coalesce(get("text"), F.lit("")))
-    return rows.where((get("type") == "message") & get("forwarded_from").isNull()).select("pos", F.coalesce(get("from"), F.lit("")).alias("author"), text.alias("text"))
+    """pos, author, text of an export's own messages; the JSON type says whether a text is a string or a list of parts."""
+    rows = exports.select(F.variant_get(F.try_parse_json(F.col(json_col)), "$.messages", "array<variant>").alias("ms")).select(F.posexplode("ms").alias("pos", "m"))
+    get = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
+    whole = F.try_variant_get("m", "$.text", "variant")
+    part = lambda p: F.coalesce(F.when(F.schema_of_variant(p) == "STRING", get(p, "$")).otherwise(get(p, "$.text")), F.lit(""))
+    parts = F.array_join(F.transform(F.try_variant_get(whole, "$", "array<variant>"), part), "")
+    text = F.when(F.schema_of_variant(whole).startswith("ARRAY"), parts).otherwise(F.coalesce(get("m", "$.text"), F.lit("")))
+    own = (get("m", "$.type") == "message") & get("m", "$.forwarded_from").isNull()
+    return rows.where(own).select("pos", F.coalesce(get("m", "$.from"), F.lit("")).alias("author"), text.alias("text"))
 
 
 def usable(text: Column) -> Column:
-    """The message as one clean line, or null if it should not be kept."""
+    """One line of plain text, or null: notices, links, long numbers, texts too short or too long, or without a letter that could carry a mark."""
     line = collapse(F.translate(text, "‎‏", "  "))
     line = F.trim(F.when(line.endswith(EDITED), line.substr(F.lit(1), F.length(line) - len(EDITED))).otherwise(line))
     low = F.lower(line)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmend.functions.words import END, START, UNKNOWN
+from glyphmend.operators.stored import stored
 
 VOCABULARY = 30_000
 MOST_CONTEXTS, LEAST_CONTEXT = 200, 2
@@ -18,8 +19,13 @@ def neighbour_vocabulary(lexicon: DataFrame, size: int = VOCABULARY) -> DataFram
     return lexicon.groupBy("key").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "key").limit(size)
 
 
-def as_features(rows: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
-    """left and right as features: keys outside the vocabulary become the unknown one."""
+def as_features(rows: DataFrame, vocabulary: DataFrame | None, *, keep: bool = False) -> DataFrame:
+    """left and right as features: keys outside the vocabulary become the unknown one.
+
+    keep: the keys themselves stay as _typed_left and _typed_right.
+    """
+    if keep:
+        rows = rows.withColumns({"_typed_left": F.col("left"), "_typed_right": F.col("right")})
     if vocabulary is None:
         return rows
     for side in ("left", "right"):
@@ -32,9 +38,11 @@ def as_features(rows: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
 def train(neighbours: DataFrame, ambiguous: DataFrame, vocabulary: DataFrame | None, *, order: tuple[str, ...] = ("doc_id", "pos")) -> tuple[DataFrame, DataFrame]:
     """(key, form, n, first_seen) and (key, form, side, feature, n) over tokens of ambiguous keys."""
     seen = as_features(neighbours.join(ambiguous.select("key"), "key", "left_semi"), vocabulary)
-    forms = seen.groupBy("key", "form").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first_seen"))
     both = seen.select("key", "form", F.struct(*order).alias("at"), F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("feature")) for s in ("left", "right")])).alias("x"))
     sides = both.groupBy("key", "form", F.col("x.side").alias("side"), F.col("x.feature").alias("feature")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_seen"))
+    sides = stored(sides)
+    # Every token has one feature on its left.
+    forms = sides.where("side = 'left'").groupBy("key", "form").agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"))
     return forms, sides
 
 

@@ -27,6 +27,16 @@ def best_forms(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy("key").agg(top, F.sum("n").alias("total"), F.count(F.lit(1)).alias("forms")).select("key", F.col("b.form").alias("form"), F.col("b.n").alias("n"), "total", "forms")
 
 
+def key_facts(lexicon: DataFrame, *, least_count: int = LEAST_COUNT, least_share: float = LEAST_SHARE, usual: float = 0.95) -> DataFrame:
+    """All that is asked of a key, in one pass: key, form, n, total, forms, runner_up, is_ambiguous, usual (its dominant form, or null)."""
+    top = F.min(F.struct((-F.col("n")).alias("m"), F.col("first_seen"), F.col("form"), F.col("n"))).alias("b")
+    second = F.get(F.sort_array(F.collect_list("n"), asc=False), F.lit(1))
+    rows = lexicon.groupBy("key").agg(top, F.sum("n").alias("total"), F.count(F.lit(1)).alias("forms"), second.alias("runner_up"))
+    unsure = F.coalesce((F.col("runner_up") >= least_count) & (F.col("runner_up") / F.col("total") >= least_share), F.lit(False))
+    rows = rows.select("key", F.col("b.form").alias("form"), F.col("b.n").alias("n"), "total", "forms", "runner_up", unsure.alias("is_ambiguous"))
+    return rows.withColumn("usual", F.when(F.col("n") / F.col("total") >= usual, F.col("form")))
+
+
 def ambiguous_keys(lexicon: DataFrame, *, least_count: int = LEAST_COUNT, least_share: float = LEAST_SHARE) -> DataFrame:
     """key, runner_up, total of keys whose second spelling counts."""
     counts = F.sort_array(F.collect_list("n"), asc=False)

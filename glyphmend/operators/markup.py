@@ -12,7 +12,11 @@ STEPS = (
     (r"(?s)\{\|.*?\|\}", " "),
     (r"(?s)<!--.*?-->", ""),  # *
     (r"\{\{[^{}]*\}\}", ""),  # *
-    (r"\{\{[^{}]*\}\}", ""),  # * nested once
+    (r"\{\{[^{}]*\}\}", ""),  # * and again for each level that templates are nested
+    (r"\{\{[^{}]*\}\}", ""),  # *
+    (r"\{\{[^{}]*\}\}", ""),  # *
+    (r"\{\{[^{}]*\}\}", ""),  # *
+    (r"\{\{[^{}]*\}\}", ""),  # *
     (r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1"),  # *
     (r"\[https?://[^\s\]]+\s*([^\]]*)\]", "$1"),  # *
     (r"'{2,}", ""),  # *

@@ -2,20 +2,23 @@
 
 A restorer takes texts (id, text) and returns (id, text, restored).  Words are rewritten as rows and the
 text is put together again from (position, gap, word) rows, so very long texts are no single expression.
+Spellings are found by joins with tables that are built once; those that are counted and small are broadcast, so
+that the words of a text stay where they are until its text is put together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmend.functions.letters import is_foldable, keep_skeleton, key_of, restore_case, strip_diacritics
-from glyphmend.functions.words import joined, pieces, with_neighbours
+from glyphmend.functions.letters import characters, is_foldable, keep_skeleton, key_of, restore_case, strip_diacritics
+from glyphmend.functions.words import joined, pieces, spans, with_neighbours
 from glyphmend.operators import context as ctx
 from glyphmend.operators.lexicon import ambiguous_keys, best_forms
+from glyphmend.operators.stored import small, stored
 
 
 def applied(word: Column, form: Column) -> Column:
@@ -23,13 +26,22 @@ def applied(word: Column, form: Column) -> Column:
     return F.when(form.isNull(), word).otherwise(keep_skeleton(word, restore_case(word, form)))
 
 
-def _rows(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return pieces(texts, id_col=id_col, text_col=text_col).withColumn("key", key_of(F.col("word")))
+def keyed_pieces(texts: DataFrame, *, id_col: str, text_col: str, beside: dict[str, str] | None = None) -> DataFrame:
+    """The pieces of texts with the key of each word."""
+    return pieces(texts, id_col=id_col, text_col=text_col, beside=beside, outer=True).withColumn("key", key_of(F.col("word")))
 
 
-def _text(texts: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    out = joined(rows, id_col=id_col, word_col="out", out="restored")
-    return texts.select(id_col, text_col).join(out, id_col, "left").withColumn("restored", F.coalesce("restored", text_col))
+def _meeting(key: str, id_col: str) -> Column:
+    """The key to join by: rows without a word meet nothing, and are spread by their text."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\u0000"), F.col(id_col).cast("string")))
+
+
+def _text(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and restored of (id, pos, gap, word, out) rows."""
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "gap", "word", "out")))
+    whole = lambda c: F.array_join(F.transform("_x", lambda x: F.concat(x["gap"], F.coalesce(x[c], F.lit("")))), "")
+    parts = rows.groupBy(id_col).agg(ordered.alias("_x"), F.count("gap").alias("_n"))
+    return parts.select(id_col, *[F.when(F.col("_n") > 0, whole(c)).alias(name) for c, name in (("word", text_col), ("out", "restored"))])
 
 
 @dataclass
@@ -46,13 +58,20 @@ class LexiconRestorer:
 
     lexicon: DataFrame
     name: str = "lexicon"
+    _best: list = field(default_factory=list, repr=False)
+
+    def best(self) -> DataFrame:
+        """_key, _form of every key; found once."""
+        if not self._best:
+            self._best.append(small(stored(best_forms(self.lexicon).select(F.col("key").alias("_key"), F.col("form").alias("_form")))))
+        return self._best[0]
 
-    def words(self, rows: DataFrame) -> DataFrame:
-        best = best_forms(self.lexicon).select(F.col("key").alias("_key"), F.col("form").alias("_form"))
-        return rows.join(best, F.col("key") == F.col("_key"), "left").withColumn("out", applied(F.col("word"), F.col("_form"))).drop("_key", "_form")
+    def words(self, rows: DataFrame, *, id_col: str) -> DataFrame:
+        """Adds out to (id, word, key) rows."""
+        return rows.join(self.best(), _meeting("key", id_col) == F.col("_key"), "left").withColumn("out", applied(F.col("word"), F.col("_form"))).drop("_key", "_form")
 
     def transform(self, texts: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
-        return _text(texts, self.words(_rows(texts, id_col, text_col)), id_col, text_col)
+        return _text(self.words(keyed_pieces(texts, id_col=id_col, text_col=text_col), id_col=id_col), id_col, text_col)
 
 
 @dataclass
@@ -67,27 +86,41 @@ class ContextRestorer:
     margin: float = 0.0
     smoothing: float = ctx.SMOOTHING
     name: str = "context"
+    _fallback: list = field(default_factory=list, repr=False)
+
+    def fallback(self) -> LexiconRestorer:
+        if not self._fallback:
+            self._fallback.append(LexiconRestorer(self.lexicon))
+        return self._fallback[0]
 
     def choices(self, asked: DataFrame) -> DataFrame:
         """key, left, right and the chosen form, for the distinct triples of asked."""
         scored = ctx.scores(asked, self.forms, self.sides, self.features, self.smoothing)
         top = ctx.best(scored).withColumnRenamed("form", "chosen").withColumnRenamed("score", "lead")
-        fallback = best_forms(self.lexicon).select("key", F.col("form").alias("fallback"))
+        if self.margin <= 0:
+            # The highest score leads any other by nothing at least.
+            return top.select("key", "left", "right", F.col("chosen").alias("_form"))
+        fallback = self.fallback().best().select(F.col("_key").alias("key"), F.col("_form").alias("fallback"))
         own = scored.select("key", "left", "right", F.col("form").alias("fallback"), F.col("score").alias("base"))
         rows = top.join(fallback, "key", "left").join(own, ["key", "left", "right", "fallback"], "left")
         # A fallback that the model does not know scores nothing: any lead is wide enough.
         wide = F.col("base").isNull() | (F.col("lead") - F.col("base") >= self.margin)
         return rows.select("key", "left", "right", F.when(F.col("fallback").isNull() | wide, F.col("chosen")).otherwise(F.col("fallback")).alias("_form"))
 
-    def words(self, rows: DataFrame, id_col: str) -> DataFrame:
-        placed = with_neighbours(rows.where("word is not null"), id_col=id_col)
-        seen = ctx.as_features(placed, self.vocabulary)
-        chosen = seen.join(self.choices(seen), ["key", "left", "right"], "left").select(id_col, "pos", F.col("_form").alias("_context"))
-        fixed = LexiconRestorer(self.lexicon).words(rows).join(chosen, [id_col, "pos"], "left")
+    def words(self, rows: DataFrame, *, id_col: str) -> DataFrame:
+        """Adds out to (id, word, key, left, right) rows."""
+        placed = rows
+        # Only words that the model has forms of are asked for; each different question once.
+        known = small(stored(self.forms.select("key").distinct()))
+        asked = ctx.as_features(placed.join(known, "key", "left_semi").select("key", "left", "right").distinct(), self.vocabulary, keep=True).distinct()
+        chosen = stored(self.choices(asked.select("key", "left", "right")).join(asked, ["key", "left", "right"]).select(F.col("key").alias("_ckey"), "_typed_left", "_typed_right", F.col("_form").alias("_context")))
+        same = (_meeting("key", id_col) == F.col("_ckey")) & (F.col("left") == F.col("_typed_left")) & (F.col("right") == F.col("_typed_right"))
+        fixed = self.fallback().words(placed.join(small(chosen), same, "left").drop("_ckey", "_typed_left", "_typed_right"), id_col=id_col)
         return fixed.withColumn("out", F.when(F.col("_context").isNull(), F.col("out")).otherwise(applied(F.col("word"), F.col("_context")))).drop("_context")
 
     def transform(self, texts: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
-        return _text(texts, self.words(_rows(texts, id_col, text_col), id_col), id_col, text_col)
+        rows = pieces(texts, id_col=id_col, text_col=text_col, outer=True, neighbours=True)
+        return _text(self.words(rows, id_col=id_col), id_col, text_col)
 
 
 @dataclass
@@ -99,76 +132,104 @@ class HybridRestorer:
     context: ContextRestorer | None = None
     min_count: int = 3
     name: str = "hybrid"
+    _sure: list = field(default_factory=list, repr=False)
 
-    def transform(self, texts: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
-        """tagger: (id, text) rows to (id, restored) rows of equal length."""
+    def sure(self) -> DataFrame:
+        """_key, _sure of the keys with one spelling, seen often enough; found once."""
+        if not self._sure:
+            rows = best_forms(self.lexicon).where((F.col("forms") == 1) & (F.col("n") >= self.min_count))
+            self._sure.append(small(stored(rows.select(F.col("key").alias("_key"), F.col("form").alias("_sure")))))
+        return self._sure[0]
+
+    def words(self, texts: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+        """id, pos, gap, word, key, out, source (dictionary where the lexicon decides, else model)."""
         tagged = self.tagger(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(F.col("id").alias(id_col), F.col("restored").alias("_tagged"))
-        rows = _rows(texts, id_col, text_col)
-        theirs = pieces(tagged, id_col=id_col, text_col="_tagged").select(id_col, "pos", F.col("gap").alias("_gap"), F.col("word").alias("_word"))
-        sure = best_forms(self.lexicon).where((F.col("forms") == 1) & (F.col("n") >= self.min_count)).select(F.col("key").alias("_key"), F.col("form").alias("_sure"))
-        rows = rows.join(theirs, [id_col, "pos"]).join(sure, F.col("key") == F.col("_key"), "left").drop("_key")
+        both = texts.select(id_col, text_col).join(tagged, id_col)
+        rows = keyed_pieces(both, id_col=id_col, text_col=text_col, beside={"_word": "_tagged"})
+        rows = rows.join(self.sure(), _meeting("key", id_col) == F.col("_key"), "left").drop("_key")
         if self.context is not None:
-            unsure = ambiguous_keys(self.lexicon).select(F.col("key").alias("_akey"))
-            placed = ctx.as_features(with_neighbours(rows.where("word is not null"), id_col=id_col), self.context.vocabulary)
-            placed = placed.join(unsure, F.col("key") == F.col("_akey"), "left_semi")
+            unsure = small(stored(ambiguous_keys(self.lexicon).select(F.col("key").alias("_akey"))))
+            placed = with_neighbours(rows, id_col=id_col)
+            placed = ctx.as_features(placed.join(unsure, F.col("key") == F.col("_akey"), "left_semi"), self.context.vocabulary)
             best = ctx.best(ctx.scores(placed, self.context.forms, self.context.sides, self.context.features, self.context.smoothing))
             chosen = placed.join(best.select("key", "left", "right", F.col("form").alias("_context")), ["key", "left", "right"], "left").select(id_col, "pos", "_context")
-            rows = rows.join(chosen, [id_col, "pos"], "left").withColumn("_sure", F.coalesce("_sure", "_context"))
-        rows = rows.withColumn("out", F.when(F.col("_sure").isNull(), F.col("_word")).otherwise(applied(F.col("word"), F.col("_sure")))).withColumn("gap", F.col("_gap"))
-        return _text(texts, rows.drop("_gap", "_word", "_sure"), id_col, text_col)
+            rows = rows.join(chosen, [id_col, "pos"], "left").withColumn("_sure", F.coalesce("_sure", "_context")).drop("_context")
+        out = F.when(F.col("_sure").isNull(), F.col("_word")).otherwise(applied(F.col("word"), F.col("_sure")))
+        return rows.withColumn("out", out).withColumn("source", F.when(F.col("_sure").isNull(), "model").otherwise("dictionary")).drop("_word", "_sure")
+
+    def transform(self, texts: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
+        """tagger: (id, text) rows to (id, restored) rows of equal length."""
+        return _text(self.words(texts, id_col=id_col, text_col=text_col), id_col, text_col)
 
 
 def changes(restored: DataFrame, *, id_col: str, text_col: str, out_col: str = "restored") -> DataFrame:
     """id, start, end, typed, to of every word that a restorer changed; texts of unequal length are an error."""
     fine = F.when(F.length(text_col) == F.length(out_col), F.col(out_col)).otherwise(F.raise_error(F.lit("texts differ in length")).cast("string"))
     rows = restored.select(id_col, F.col(text_col).alias("_a"), fine.alias("_b"))
-    old = spans_of(rows, id_col, "_a")
     # Only marks differ, so the words of both texts stand at the same places.
-    new = spans_of(rows, id_col, "_b").select(id_col, "start", F.col("word").alias("to"))
-    return old.join(new, [id_col, "start"]).where("word <> to").select(id_col, "start", "end", F.col("word").alias("typed"), "to")
-
+    return changed_words(pieces(rows, id_col=id_col, text_col="_a", beside={"out": "_b"}), id_col=id_col)
 
-def spans_of(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    from glyphmend.functions.words import spans
 
-    return spans(texts, id_col=id_col, text_col=text_col).select(id_col, "start", "end", "word")
+def changed_words(rows: DataFrame, *, id_col: str) -> DataFrame:
+    """id, start, end, typed, to of the changed words of (id, pos, gap, word, out) rows."""
+    placed = spans(rows, id_col=id_col)
+    return placed.where("word <> out").select(id_col, "start", "end", F.col("word").alias("typed"), F.col("out").alias("to"))
 
 
 def revert(found: DataFrame, texts: DataFrame, rejected: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """Texts with all changes but the rejected (id, start) ones: words rewritten where a kept change starts."""
-    from glyphmend.functions.words import spans
-
     kept = found.join(rejected.select(id_col, "start"), [id_col, "start"], "left_anti").select(id_col, "start", "to")
     rows = pieces(texts, id_col=id_col, text_col=text_col)
-    at = spans(texts, id_col=id_col, text_col=text_col).select(id_col, "pos", "start")
+    at = spans(rows, id_col=id_col).select(id_col, "pos", "start")
     rows = rows.join(at, [id_col, "pos"], "left").join(kept, [id_col, "start"], "left").withColumn("out", F.coalesce("to", "word"))
     return joined(rows, id_col=id_col, word_col="out", out="restored")
 
 
 def restored_letters(typed: Column, restored: Column) -> Column:
     """How many letters got a mark."""
-    from glyphmend.functions.letters import characters
-
     pairs = F.zip_with(characters(typed), characters(restored), lambda a, b: (a != b).cast("int"))
     return F.aggregate(pairs, F.lit(0), lambda acc, x: acc + x)
 
 
-def letter_view(typed: Column, probability: Column) -> Column:
-    """For each code point: null if it has no accented reading, else probability, marked and source."""
-    from glyphmend.functions.letters import characters
+def edit_stretch(typed: Column, restored: Column) -> Column:
+    """The least stretch (start, end, to) that makes restored of typed, texts of equal length; null if they are equal."""
+    places = F.sequence(F.lit(0), F.greatest(F.length(typed) - 1, F.lit(0)))
+    pairs = F.arrays_zip(characters(typed).alias("a"), characters(restored).alias("b"), places.alias("i"))
+    at = F.transform(F.filter(pairs, lambda x: x["a"] != x["b"]), lambda x: x["i"])
+    start, end = F.array_min(at), F.array_max(at) + 1
+    return F.when(F.size(at) > 0, F.struct(start.alias("start"), end.alias("end"), restored.substr(start + 1, end - start).alias("to")))
+
 
+def letter_view(typed: Column, probability: Column, dictionary: Column | None = None) -> Column:
+    """For each code point: null if it has no accented reading, else probability, marked and source.
+
+    dictionary: the text as the lexicon would have it, null where it says nothing; what was typed with a mark comes
+    first, then the dictionary, then the model.
+    """
     plain = strip_diacritics(typed)
-    rows = F.arrays_zip(characters(plain).alias("p"), characters(typed).alias("t"), probability.alias("m"))
+    rows = F.arrays_zip(characters(plain).alias("p"), characters(typed).alias("t"), probability.alias("m"), (F.array() if dictionary is None else characters(dictionary)).cast("array<string>").alias("d"))
 
     def view(x: Column) -> Column:
-        already = x["p"] != x["t"]
-        return F.when(
-            is_foldable(x["p"]),
-            F.struct(F.when(already, F.lit(1.0)).otherwise(x["m"]).alias("probability"), (already | (x["m"] > 0.5)).alias("marked"), F.when(already, "typed").otherwise("model").alias("source")),
-        )
+        already, said = x["p"] != x["t"], x["d"].isNotNull()
+        marked = already | F.when(said, x["d"] != x["p"]).otherwise(x["m"] > 0.5)
+        sure = F.when(already | (said & marked), F.lit(1.0)).when(said, F.lit(0.0)).otherwise(x["m"])
+        return F.when(is_foldable(x["p"]), F.struct(sure.alias("probability"), marked.alias("marked"), F.when(already, "typed").when(said, "dictionary").otherwise("model").alias("source")))
 
     return F.transform(rows, view)
 
 
 def unsure_letters(view: Column, low: float = 0.1, high: float = 0.9) -> Column:
     return F.filter(view, lambda x: x.isNotNull() & (x["source"] == "model") & (x["probability"] > low) & (x["probability"] < high))
+
+
+def explained(rows: DataFrame, letters: DataFrame, *, id_col: str) -> DataFrame:
+    """id, start, end, typed, to, source, confidence of the changed words of (id, pos, gap, word, out, source) rows.
+
+    letters: (id, at, probability) of foldable letters.  A word of the model is as sure as its least sure letter (the
+    probability of what was decided); the dictionary gives no confidence.
+    """
+    placed = spans(rows, id_col=id_col).where("word <> out")
+    decided = F.greatest("probability", 1 - F.col("probability"))
+    spots = placed.where("source = 'model'").select(id_col, "start", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("at"))
+    least = spots.join(letters.select(id_col, F.col("at").cast("long").alias("at"), decided.alias("p")), [id_col, "at"]).groupBy(id_col, "start").agg(F.min("p").alias("confidence"))
+    return placed.join(least, [id_col, "start"], "left").select(id_col, "start", "end", F.col("word").alias("typed"), F.col("out").alias("to"), "source", "confidence")

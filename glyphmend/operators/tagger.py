@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmend.functions.letters import PLAIN, apply_labels, az_lower, characters, is_foldable, strip_diacritics, to_labels
+from glyphmend.functions.letters import apply_labels, az_lower, characters, is_foldable, mark, strip_diacritics, to_labels
 
 RADII = (4, 3, 2, 1)
 SUPPORT = 3
@@ -74,11 +74,15 @@ def probabilities(texts: DataFrame, model: DataFrame, *, id_col: str = "id", tex
 def tag(texts: DataFrame, model: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id, restored: marks of probability over one half, and all that were typed."""
     found = probabilities(texts, model, id_col=id_col, text_col=text_col).where("probability > 0.5").groupBy(id_col).agg(F.array_sort(F.collect_list("at")).alias("_at"))
-    rows = texts.join(found, id_col, "left")
-    pieces = F.zip_with(characters(F.col(text_col)), F.sequence(F.lit(0), F.greatest(F.length(text_col) - 1, F.lit(0))), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    marked = F.map_from_arrays(F.col("_at"), F.col("_at"))
-    text = F.array_join(F.transform(pieces, lambda x: F.when(F.element_at(marked, x["i"]).isNotNull(), F.translate(x["c"], PLAIN, "çəğıöşüÇƏĞİÖŞÜ")).otherwise(x["c"])), "")
-    return rows.select(id_col, F.when(F.col("_at").isNull() | (F.col(text_col) == ""), F.col(text_col)).otherwise(text).alias("restored"))
+    return texts.join(found, id_col, "left").select(id_col, marked_at(F.col(text_col), F.col("_at")).alias("restored"))
+
+
+def marked_at(text: Column, at: Column) -> Column:
+    """text with the accented reading at the sorted places at; each stretch up to a place is cut out once."""
+    ends = F.concat(at, F.array(F.length(text)))
+    starts = F.concat(F.array(F.lit(-1)), at)
+    parts = F.zip_with(starts, ends, lambda a, z: F.concat(F.when(a >= 0, mark(text.substr(a + 1, F.lit(1)))).otherwise(F.lit("")), text.substr(a + 2, z - a - 1)))
+    return F.when(at.isNull(), text).otherwise(F.array_join(parts, ""))
 
 
 def decisions(found: DataFrame) -> DataFrame:

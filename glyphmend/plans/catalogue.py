@@ -14,22 +14,24 @@ from glyphmend.operators import analysis, chat, corpus, markup, scoring, spellin
 from glyphmend.operators import context as ctx
 from glyphmend.operators import lexicon as lex
 from glyphmend.operators import restore as R
+from glyphmend.operators.stored import small, stored
 from glyphmend.plans import sql as Q
 from glyphmend.streaming.limits import limited
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-#: Settings of the registered queries that suit tables of this size better than the engine's defaults.
-VOCABULARY, STEMS = 2000, 20
+#: Known stems that an ending needs.
+STEMS = 1000
 
 
-def query(sql: str | None = None, *needed: str, name: str | None = None):
+def query(sql: str | None = None, *needed: str, more: str = ""):
+    """Registers a query with its SQL, which may use the needed tables and more tables of its own."""
+
     def register(f: Query) -> Query:
-        key = name or f.__name__
-        QUERIES[key] = f
+        QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[key] = Q.query(sql, *needed)
+            SQL[f.__name__] = Q.query("", *needed).rstrip() + (", " if needed and more else "with " if more else "") + more + " " + sql
         return f
 
     return register
@@ -51,31 +53,44 @@ def typed(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", "text", L.strip_diacritics(F.col("text")).alias("typed"))
 
 
+def kept_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """The lexicon for plans that read it more than once."""
+    return stored(lexicon(spark, d))
+
+
+def near(spark: SparkSession, d: str) -> DataFrame:
+    return W.neighboured(docs(spark, d), id_col="doc_id", text_col="text")
+
+
 def context_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """lexicon, forms, sides (pruned), vocabulary"""
-    words = lexicon(spark, d)
-    vocab = ctx.neighbour_vocabulary(words, VOCABULARY)
-    forms, sides = ctx.train(W.with_neighbours(toks(spark, d), id_col="doc_id"), lex.ambiguous_keys(words), vocab)
-    return words, forms, ctx.prune(sides), vocab
+    """lexicon, forms, sides (not pruned), vocabulary"""
+    words = kept_lexicon(spark, d)
+    vocab = small(stored(ctx.neighbour_vocabulary(words)))
+    forms, sides = ctx.train(near(spark, d), small(stored(lex.ambiguous_keys(words))), vocab)
+    return words, stored(forms), sides, vocab
 
 
-def _asked(spark: SparkSession, d: str) -> DataFrame:
-    words = lexicon(spark, d)
-    near = W.with_neighbours(toks(spark, d), id_col="doc_id").join(lex.ambiguous_keys(words).select("key"), "key", "left_semi")
-    return ctx.as_features(near, ctx.neighbour_vocabulary(words, VOCABULARY))
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    _, forms, sides, vocab = context_model(spark, d)
+    asked = ctx.as_features(near(spark, d).join(small(forms.select("key").distinct()), "key", "left_semi"), vocab)
+    return ctx.scores(asked, forms, ctx.prune(sides), vocab.count() + 3)
 
 
-def word_pairs(spark: SparkSession, d: str) -> DataFrame:
+def lexicon_rows(spark: SparkSession, d: str, words: DataFrame) -> DataFrame:
+    """doc_id, pos, gap, word (typed), expected, key, out of every piece under the lexicon restorer."""
+    rows = R.keyed_pieces(typed(spark, d), id_col="doc_id", text_col="typed", beside={"expected": "text"})
+    return R.LexiconRestorer(words).words(rows, id_col="doc_id")
+
+
+def word_pairs(spark: SparkSession, d: str, words: DataFrame | None = None) -> DataFrame:
     """doc_id, pos, expected, produced, key under the lexicon restorer."""
-    rows = W.pieces(typed(spark, d), id_col="doc_id", text_col="typed").withColumn("key", L.key_of(F.col("word"))).where("word is not null")
-    out = R.LexiconRestorer(lexicon(spark, d)).words(rows).select("doc_id", "pos", F.col("out").alias("produced"))
-    return toks(spark, d).select("doc_id", "pos", F.col("word").alias("expected"), "key").join(out, ["doc_id", "pos"])
+    rows = lexicon_rows(spark, d, words if words is not None else lexicon(spark, d)).where("word is not null")
+    return rows.select("doc_id", "pos", "expected", F.col("out").alias("produced"), "key")
 
 
-def restored_pairs(spark: SparkSession, d: str) -> DataFrame:
-    t = typed(spark, d)
-    out = R.LexiconRestorer(lexicon(spark, d)).transform(t, id_col="doc_id", text_col="typed")
-    return out.join(t.select("doc_id", "text"), "doc_id").select("doc_id", F.col("doc_id").alias("grp"), F.col("text").alias("expected"), F.col("restored").alias("produced"))
+def group_tallies(rows: DataFrame, words: DataFrame) -> DataFrame:
+    facts = small(stored(lex.key_facts(words).select("key", "is_ambiguous")))
+    return scoring.row_tallies(rows.withColumn("grp", F.col("doc_id")), facts, id_col="doc_id", group_col="grp")
 
 
 # Characters
@@ -123,7 +138,7 @@ def case_classes(spark, d):
     select doc_id, unnest(range(len(gs))) as pos, unnest(list_concat(ws, [null])) as word, unnest(gs) as gap from (
     select doc_id, regexp_extract_all(text, 'WORD') as ws, string_split_regex(text, 'WORD') as gs from documents))) where word is not null""".replace("WORD", Q.WORD))
 def word_spans(spark, d):
-    return W.spans(docs(spark, d), id_col="doc_id", text_col="text").select("doc_id", F.col("pos").cast("long").alias("pos"), "start", "end", "word")
+    return W.text_spans(docs(spark, d), id_col="doc_id", text_col="text").select("doc_id", F.col("pos").cast("long").alias("pos"), "start", "end", "word")
 
 
 @query("select word, count(*) as n from tok group by word", "tok")
@@ -138,7 +153,7 @@ def key_counts(spark, d):
 
 @query("select l, r, count(*) as n from near group by l, r", "near")
 def neighbour_pairs(spark, d):
-    return W.with_neighbours(toks(spark, d), id_col="doc_id").groupBy(F.col("left").alias("l"), F.col("right").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    return near(spark, d).groupBy(F.col("left").alias("l"), F.col("right").alias("r")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select doc_id, sent_pos, sentence from sent", "sent")
@@ -180,14 +195,29 @@ def corpus_stats(spark, d):
     return corpus.stats(docs(spark, d), id_col="doc_id", text_col="text")
 
 
+def _clean_sql(x: str) -> str:
+    for pattern, replacement in markup.STEPS:
+        flags = "g" + ("i" if "i" in pattern[:6] and pattern.startswith("(?") and "i" in pattern[2 : pattern.index(")")] else "") + ("s" if pattern.startswith("(?") and "s" in pattern[2 : pattern.index(")")] and not pattern.startswith("(?:") else "") + ("m" if pattern.startswith(("(?md", "(?imd")) else "")
+        body = pattern[pattern.index(")") + 1 :] if pattern.startswith(("(?i", "(?s", "(?m")) else pattern
+        body = ("(?m)" if "m" in flags else "") + body
+        x = f"regexp_replace({x}, '{body.replace(chr(39), chr(39) * 2)}', '{replacement.replace('$1', chr(92) + '1')}', '{flags.replace('m', '')}')"
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+Q.TABLES["webtext"] = ((), f"select page_id as doc_id, {_clean_sql('html')} as text from pages")
+for _from, _to in (("piece", "wpiece"), ("sent", "wsent"), ("norm", "wnorm")):
+    Q.TABLES[_to] = tuple("w" + n for n in Q.TABLES[_from][0]) or ("webtext",), Q.TABLES[_from][1].replace("from documents", "from webtext").replace("from piece", "from wpiece").replace("from sent", "from wsent")
+
+
 @query(f"""select reason, count(*) as n from (select case when reason is not null then reason when row_number() over (partition by low, reason is null order by doc_id, sent_pos) > 1 then 'duplicate'
-    else 'kept ' || split end as reason from (select n.*, case when not usable then 'prose filter' when split <> 'test' and {Q.count('sentence', chr(92) + 'p{L}')} >= 25 and not contains(low, 'ü') then 'no schwa'
-    when k.klow is not null then 'in the corpus' end as reason from (select *, {Q.lower('sentence')} as low, {Q.split_name('doc_id::varchar', 10, 20)} as split from norm) n
-    left join (select distinct {Q.lower('sentence')} as klow from corpus where doc_id % 7 = 0) k on k.klow = n.low)) group by reason""", "norm", "corpus")
+    else 'kept ' || split end as reason from (select n.*, case when not usable then 'prose filter' when split <> 'test' and {Q.count('sentence', chr(92) + 'p{L}')} >= 25 and not contains(low, 'a') then 'no such letter'
+    when k.klow is not null then 'in the corpus' end as reason from (select *, {Q.lower('sentence')} as low, {Q.split_name('doc_id::varchar', 10, 20)} as split from wnorm) n
+    left join (select distinct {Q.lower('sentence')} as klow from corpus) k on k.klow = n.low)) group by reason""", "wnorm", "corpus")
 def web_drop_reasons(spark, d):
-    """The documents as web documents against a corpus of some of them; ü stands in for ə, which the tables lack."""
-    known = corpus.build(docs(spark, d), id_col="doc_id", text_col="text").where(F.col("doc_id") % 7 == 0)
-    return corpus.web_reasons(docs(spark, d), known, id_col="doc_id", text_col="text", letter="ü").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    """The pages' prose as web documents against the corpus of all documents; a stands in for ə, which the tables lack."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("doc_id"), markup.clean(F.col("html")).alias("text"))
+    known = corpus.build(docs(spark, d), id_col="doc_id", text_col="text")
+    return corpus.web_reasons(pages, known, id_col="doc_id", text_col="text", letter="a").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Lexicon
@@ -228,12 +258,12 @@ def lexicon_candidates(spark, d):
     round(sum(case when key in (select key from amb) then n else 0 end) / sum(n), 4) as ambiguous_share from lex""".replace(
     "amb)", "(select key from (select key, n, row_number() over (partition by key order by n desc, seen) as rk, sum(n) over (partition by key) as total from lex where n >= 2) where rk = 2 and n >= 10 and n / total >= 0.05))"), "lex")
 def lexicon_stats(spark, d):
-    return lex.stats(toks(spark, d), lexicon(spark, d))
+    return lex.stats(toks(spark, d), kept_lexicon(spark, d))
 
 
 @query("select b.key, b.form, b.total::bigint as total from best b join ambiguous a on a.key = b.key order by b.total desc, b.key limit 25", "best", "ambiguous")
 def top_ambiguous(spark, d):
-    words = lexicon(spark, d)
+    words = kept_lexicon(spark, d)
     return lex.best_forms(words).join(lex.ambiguous_keys(words).select("key"), "key", "left_semi").orderBy(F.desc("total"), "key").limit(25).select("key", "form", "total")
 
 
@@ -252,32 +282,27 @@ def dominant_spellings(spark, d):
 
 @query("select key, total::bigint as total from vocab", "vocab")
 def neighbour_vocab(spark, d):
-    return ctx.neighbour_vocabulary(lexicon(spark, d), VOCABULARY)
+    return ctx.neighbour_vocabulary(lexicon(spark, d))
 
 
 @query("select key, form, side, feature, n from cside", "cside")
 def context_counts(spark, d):
-    words = lexicon(spark, d)
-    near = W.with_neighbours(toks(spark, d), id_col="doc_id")
-    return ctx.train(near, lex.ambiguous_keys(words), ctx.neighbour_vocabulary(words, VOCABULARY))[1].select("key", "form", "side", "feature", "n")
+    return context_model(spark, d)[2].select("key", "form", "side", "feature", "n")
 
 
 @query("select key, form, side, feature, n from ckept", "ckept")
 def context_topk(spark, d):
-    return context_model(spark, d)[2].select("key", "form", "side", "feature", "n")
+    return ctx.prune(context_model(spark, d)[2]).select("key", "form", "side", "feature", "n")
 
 
 @query("select key, l, r, form, round(score, 6) as score from scored", "scored")
 def context_scores(spark, d):
-    _, forms, sides, _ = context_model(spark, d)
-    out = ctx.scores(_asked(spark, d), forms, sides, VOCABULARY + 3)
-    return out.select("key", F.col("left").alias("l"), F.col("right").alias("r"), "form", F.round("score", 6).alias("score"))
+    return _scored(spark, d).select("key", F.col("left").alias("l"), F.col("right").alias("r"), "form", F.round("score", 6).alias("score"))
 
 
 @query("select key, l, r, form from cbest", "cbest")
 def context_best(spark, d):
-    _, forms, sides, _ = context_model(spark, d)
-    return ctx.best(ctx.scores(_asked(spark, d), forms, sides, VOCABULARY + 3)).select("key", F.col("left").alias("l"), F.col("right").alias("r"), "form")
+    return ctx.best(_scored(spark, d)).select("key", F.col("left").alias("l"), F.col("right").alias("r"), "form")
 
 
 # Restoration
@@ -298,22 +323,14 @@ def restore_lexicon(spark, d):
     left join (select f.doc_id, f.pos, c.form from feat f join cbest c on c.key = f.key and c.l = f.l and c.r = f.r) c on c.doc_id = t.doc_id and c.pos = t.pos group by t.doc_id""", "ttok", "best", "feat", "cbest")
 def restore_context(spark, d):
     words, forms, sides, vocab = context_model(spark, d)
-    out = R.ContextRestorer(words, forms, sides, vocab, VOCABULARY + 3).transform(typed(spark, d), id_col="doc_id", text_col="typed")
-    return out.select("doc_id", F.md5("restored").alias("restored"))
-
-
-@query()
-def restore_hybrid(spark, d):
-    model = tagger.train(docs(spark, d), id_col="doc_id", text_col="text")
-    out = R.HybridRestorer(lambda t: tagger.tag(t, model), lexicon(spark, d)).transform(typed(spark, d), id_col="doc_id", text_col="typed")
+    out = R.ContextRestorer(words, forms, ctx.prune(sides), vocab, vocab.count() + 3).transform(typed(spark, d), id_col="doc_id", text_col="typed")
     return out.select("doc_id", F.md5("restored").alias("restored"))
 
 
 @query("""select doc_id, start::bigint as start, (start + length(word))::bigint as "end", word as typed, out as "to" from (
     select *, sum(length(gap) + coalesce(length(word), 0)) over (partition by doc_id order by pos rows unbounded preceding) - length(word) as start from lexout) where word <> out""", "lexout")
 def restore_changes(spark, d):
-    out = R.LexiconRestorer(lexicon(spark, d)).transform(typed(spark, d), id_col="doc_id", text_col="typed")
-    return R.changes(out, id_col="doc_id", text_col="typed")
+    return R.changed_words(lexicon_rows(spark, d, lexicon(spark, d)), id_col="doc_id")
 
 
 # Scores
@@ -327,25 +344,38 @@ TALLY = """select p.doc_id as grp, count(*) as words, sum((expected = produced):
     length(d.text)::bigint as chars, list_sum(list_transform(list_zip(string_split(d.text, ''), string_split(r.restored, '')), lambda x: (x[1] <> x[2])::int))::bigint as wrong_chars, (d.text = r.restored)::int::bigint as exact
     from documents d join restored r using (doc_id) left join ({TALLY}) t on t.grp = d.doc_id""", "restored", "pair", "ambiguous")
 def scores_by_group(spark, d):
-    out = scoring.tallies(restored_pairs(spark, d), lexicon(spark, d), id_col="doc_id")
-    return out.select("grp", "words", "correct", "ambiguous", "ambiguous_correct", "chars", "wrong_chars", "exact")
+    words = kept_lexicon(spark, d)
+    return group_tallies(lexicon_rows(spark, d, words), words).select("grp", "words", "correct", "ambiguous", "ambiguous_correct", "chars", "wrong_chars", "exact")
 
 
 @query("""select count(*) as words, sum((expected = produced)::int)::bigint as correct, round(sum((expected = produced)::int) / count(*), 4) as word_accuracy,
     sum((a.key is not null)::int)::bigint as ambiguous, round(sum((a.key is not null and expected = produced)::int) / sum((a.key is not null)::int), 4) as ambiguous_accuracy
     from pair p left join ambiguous a on a.key = p.key""", "pair", "ambiguous")
 def rates(spark, d):
-    out = scoring.rates(scoring.total(scoring.tallies(restored_pairs(spark, d), lexicon(spark, d), id_col="doc_id")))
-    return out.select("words", "correct", "word_accuracy", "ambiguous", "ambiguous_accuracy")
+    words = kept_lexicon(spark, d)
+    return scoring.rates(scoring.total(group_tallies(lexicon_rows(spark, d, words), words))).select("words", "correct", "word_accuracy", "ambiguous", "ambiguous_accuracy")
 
 
-@query()
+DRAWN = " + ".join(f"(u >= {c!r})::int" for c in scoring.POISSON)
+SCORED = f"""scored2 as materialized (select d.doc_id as grp, system, coalesce(words, 0) as words, coalesce(correct, 0) as correct, coalesce(amb, 0) as amb, coalesce(amb_correct, 0) as amb_correct, length(d.text) as chars,
+    coalesce(wrong, 0) as wrong, (coalesce(wrong, 0) = 0)::int as exact from documents d cross join (select unnest(['identity', 'lexicon']) as system) s left join (
+    select p.doc_id, system, count(*) as words, sum((expected = made)::int) as correct, sum((a.key is not null)::int) as amb, sum((a.key is not null and expected = made)::int) as amb_correct,
+    sum(list_sum(list_transform(list_zip(string_split(expected, ''), string_split(made, '')), lambda x: (x[1] <> x[2])::int))) as wrong
+    from (select *, 'lexicon' as system, produced as made from pair union all select *, 'identity', {Q.strip('expected')} from pair) p left join ambiguous a on a.key = p.key group by 1, 2) t using (doc_id, system)),
+    drawn as materialized (select doc_id as grp, r, {DRAWN} as times from (select doc_id, r, ('0x' || substr(md5('0:' || r || ':' || doc_id), 1, 8))::bigint / 4294967296.0 as u from documents cross join (select unnest(range({scoring.RESAMPLES})) as r))),
+    resampled as materialized (select r, system, sum(times * words) as w, sum(times * correct) as c, sum(times * amb) as a, sum(times * amb_correct) as ac, sum(times * chars) as ch, sum(times * wrong) as wr, sum(times) as s, sum(times * exact) as e
+    from drawn join scored2 using (grp) where times > 0 group by 1, 2),
+    shown as materialized (select r, system, unnest(['word_accuracy', 'ambiguous_accuracy', 'character_error_rate', 'sentence_accuracy']) as rate, unnest([c / nullif(w, 0), ac / nullif(a, 0), wr / nullif(ch, 0), e / nullif(s, 0)]) as v from resampled)"""
+
+
+@query(f"""select what, rate, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high from (select system as what, rate, coalesce(v, 0) as v from shown
+    union all select 'lexicon - identity', rate, coalesce(b.v, 0) - coalesce(a.v, 0) from shown a join shown b using (r, rate) where a.system = 'identity' and b.system = 'lexicon') group by 1, 2""", "pair", "ambiguous", more=SCORED)
 def bootstrap_intervals(spark, d):
-    words = lexicon(spark, d)
-    t = typed(spark, d)
-    plain = t.select("doc_id", F.col("doc_id").alias("grp"), F.col("text").alias("expected"), F.col("typed").alias("produced"))
-    rows = scoring.tallies(plain, words, id_col="doc_id").withColumn("system", F.lit("identity")).unionByName(scoring.tallies(restored_pairs(spark, d), words, id_col="doc_id").withColumn("system", F.lit("lexicon")))
-    return spark.createDataFrame(scoring.bootstrap(rows, ["identity", "lexicon"]), "what string, rate string, low double, high double")
+    words = kept_lexicon(spark, d)
+    rows = lexicon_rows(spark, d, words)
+    plain = group_tallies(rows.withColumn("out", F.col("word")), words).withColumn("system", F.lit("identity"))
+    both = plain.unionByName(group_tallies(rows, words).withColumn("system", F.lit("lexicon")))
+    return scoring.bootstrap(both, ["identity", "lexicon"]).select("what", "rate", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query(f"select doc_id, pos::bigint as pos, {Q.key('expected')} as key, expected, produced from pair where expected <> produced order by doc_id, pos limit 200", "pair")
@@ -364,7 +394,8 @@ def caps_accuracy(spark, d):
     case when wrong and b.n / b.total >= 0.95 and b.form = {Q.lower('produced')} then 'wrote the usual spelling' end, case when wrong then 'all' end], lambda x: x is not null)) as kind
     from (select *, expected <> produced as wrong from pair where regexp_matches(key, '[cegiosu]')) p left join best b on b.key = p.key left join ambiguous a on a.key = p.key) group by kind""", "pair", "best", "ambiguous")
 def error_kinds(spark, d):
-    return analysis.error_kinds(word_pairs(spark, d), lexicon(spark, d))
+    words = kept_lexicon(spark, d)
+    return analysis.error_kinds(word_pairs(spark, d, words), words)
 
 
 @query(f"select {Q.lower('expected')} as expected, {Q.lower('produced')} as produced, count(*) as n from pair where expected <> produced and regexp_matches(key, '[cegiosu]') group by 1, 2 order by n desc, 1, 2 limit 50", "pair")
@@ -375,7 +406,8 @@ def top_mistakes(spark, d):
 @query("""select share, count(*) as ambiguous, sum((expected = produced)::int)::bigint as correct from pair p join (select key, n / total as part from ranked where rk = 2 and n >= 10) k on k.key = p.key
     join (select unnest([0.01, 0.02, 0.05, 0.1, 0.2])::double as share) s on k.part >= s.share group by share""", "pair", "ranked")
 def threshold_sweep(spark, d):
-    return analysis.threshold_sweep(word_pairs(spark, d), lexicon(spark, d))
+    words = kept_lexicon(spark, d)
+    return analysis.threshold_sweep(word_pairs(spark, d, words), words)
 
 
 @query(f"""select {Q.key('word')} as key, word, count(*) as n from (select unnest(regexp_extract_all(title, '{Q.WORD}')) as word from (select regexp_extract(html, '<title>([^<]*)', 1) as title from pages))
@@ -407,7 +439,7 @@ def letter_histogram(spark, d):
 
 
 @query(f"""select *, round(words / sentences, 6) as words_per_sentence, round(missing / letters, 6) as missing_share from (select count(*) as sentences, sum({Q.count('sentence', Q.WORD)})::bigint as words,
-    sum({Q.count(Q.lower('sentence'), chr(92) + 'p{L}')})::bigint as letters, sum({Q.count(Q.lower('sentence'), '[çəğıöşü]')})::bigint as missing, sum({Q.count(Q.lower('sentence'), 'ə')})::bigint as schwa from sent)""", "sent")
+    sum({Q.count(Q.lower('sentence'), chr(92) + 'p{L}')})::bigint as letters, sum({Q.count(Q.lower('sentence'), '[çəğıöşü]')})::bigint as missing, sum({Q.count(Q.lower('sentence'), 'ə')})::bigint as e_turned from sent)""", "sent")
 def text_stats(spark, d):
     return analysis.text_stats(S.sentences(docs(spark, d), id_col="doc_id", text_col="text"), text_col="sentence")
 
@@ -543,15 +575,6 @@ def false_alarm_rates(spark, d):
 # Markup, chat, limits
 
 
-def _clean_sql(x: str) -> str:
-    for pattern, replacement in markup.STEPS:
-        flags = "g" + ("i" if "i" in pattern[:6] and pattern.startswith("(?") and "i" in pattern[2 : pattern.index(")")] else "") + ("s" if pattern.startswith("(?") and "s" in pattern[2 : pattern.index(")")] and not pattern.startswith("(?:") else "") + ("m" if pattern.startswith(("(?md", "(?imd")) else "")
-        body = pattern[pattern.index(")") + 1 :] if pattern.startswith(("(?i", "(?s", "(?m")) else pattern
-        body = ("(?m)" if "m" in flags else "") + body
-        x = f"regexp_replace({x}, '{body.replace(chr(39), chr(39) * 2)}', '{replacement.replace('$1', chr(92) + '1')}', '{flags.replace('m', '')}')"
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-
-
 @query(f"select page_id, md5({_clean_sql('html')}) as cleaned from pages")
 def html_clean(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.md5(markup.clean(F.col("html"))).alias("cleaned"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from glyphmend.functions.letters import ACCENTED, PLAIN
 from glyphmend.functions.sentences import ABBREVIATIONS, AZ_LETTERS
+from glyphmend.operators.context import VOCABULARY
 
 WORD = "[\\p{L}\\p{Nl}\\p{No}]+(?:[''’][\\p{L}\\p{Nl}\\p{No}]+)*"
 
@@ -75,7 +76,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "best": (("ranked",), "select key, form, n, total, forms from ranked where rk = 1"),
     "ambiguous": (("ranked",), "select key, n as runner_up, total from ranked where rk = 2 and n >= 10 and n / total >= 0.05"),
     "near": (("tok",), "select *, lag(key, 1, '<s>') over (partition by doc_id order by pos) as l, lead(key, 1, '</s>') over (partition by doc_id order by pos) as r from tok"),
-    "vocab": (("lex",), "select key, sum(n) as total from lex group by key order by total desc, key limit 2000"),
+    "vocab": (("lex",), f"select key, sum(n) as total from lex group by key order by total desc, key limit {VOCABULARY}"),
     "feat": (("near", "ambiguous", "vocab"), """select n.doc_id, n.pos, n.key, n.form, n.word,
         case when n.l in ('<s>', '</s>') then n.l else coalesce(a.key, '<unk>') end as l, case when n.r in ('<s>', '</s>') then n.r else coalesce(b.key, '<unk>') end as r
         from near n join ambiguous m on m.key = n.key left join vocab a on a.key = n.l left join vocab b on b.key = n.r"""),

@@ -31,6 +31,15 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_registry_survives_a_failing_import():
+    """A library that only the training-data operators need is missing, or the operators are."""
+    for gone in ("xxhash", "glyphmend.llm", "corpus_pipeline"):
+        code = f"import sys\nsys.modules[{gone!r}] = None\nimport __spark_entry__ as e\nprint(len(e.queries()), len(e.oracle_sql()), 'op1_exact_top_k' in e.queries(), 'pipeline' in e.queries())"
+        n, _, ops, whole = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+        assert int(n) >= len(catalogue.queries()) and whole == "False"
+        assert ops == str(gone == "corpus_pipeline" and importlib.util.find_spec("glyphmend.llm") is not None)
+
+
 def test_nothing_else_imports_the_training_data_subpackage():
     code = "import sys, importlib.abc\nclass No(importlib.abc.MetaPathFinder):\n    def find_spec(self, name, path=None, target=None):\n        if name.startswith(('glyphmend.llm', 'corpus_pipeline')): raise ModuleNotFoundError(name)\n"
     code += "sys.meta_path.insert(0, No())\nimport glyphmend.service, glyphmend.plans.catalogue, glyphmend.operators.annotate, glyphmend.streaming.filters\nprint(len(glyphmend.plans.catalogue.queries()))"

@@ -117,7 +117,7 @@ def test_bootstrap(spark):
     words = lexicon(spark, BASE)
     good = scoring.tallies(pairs(spark, [(t, t) for t in BASE * 8]), words).withColumn("system", F.lit("good"))
     bad = scoring.tallies(pairs(spark, [(t, t.replace("ə", "e").replace("ö", "o") if i % 3 == 0 else t) for i, t in enumerate(BASE * 8)]), words).withColumn("system", F.lit("bad"))
-    out = {(a, b): (lo, hi) for a, b, lo, hi in scoring.bootstrap(bad.unionByName(good), ["bad", "good"], pairs=[(0, 1), (1, 1)])}
+    out = {(a, b): (lo, hi) for a, b, lo, hi in scoring.bootstrap(bad.unionByName(good), ["bad", "good"], pairs=[(0, 1), (1, 1)]).collect()}
     assert out["good", "word_accuracy"] == (1.0, 1.0) and out["good - good", "word_accuracy"] == (0.0, 0.0)
     assert 0 < out["good - bad", "sentence_accuracy"][0] <= out["good - bad", "sentence_accuracy"][1] < 1
     with pytest.raises(ValueError):

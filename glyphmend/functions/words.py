@@ -16,25 +16,19 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), 0)
 
 
-def _around(keys: Column) -> tuple[Column, Column]:
-    """The arrays of the keys before and after each key, with the sentinels."""
-    return F.concat(F.array(F.lit(START)), keys), F.concat(F.slice(keys, 2, F.greatest(F.size(keys), F.lit(1))), F.array(F.lit(END)))
-
-
 def pieces(texts: DataFrame, *, id_col: str, text_col: str, beside: dict[str, str] | None = None, outer: bool = False, neighbours: bool = False) -> DataFrame:
     """id, pos, gap (what stands before the word), word; the last row's gap ends the text, its word is null.
 
     beside: further columns, name to column of a text whose words stand at the same places.  outer: a null text is one
-    row without gap and word.  neighbours: key, left and right as in ``with_neighbours``, found inside the text.  Gaps and
-    words are zipped before the explode, so no array is carried beside its own elements.
+    row without gap and word.  neighbours: before and after, the words beside or the sentinels, found inside the text.  Gaps
+    and words are zipped before the explode, so no array is carried beside its own elements.
     """
     arrays = {"gap": F.split(F.col(text_col), WORD, -1), "word": words_of(F.col(text_col))} | {name: words_of(F.col(c)) for name, c in (beside or {}).items()}
     rows = texts.select(F.col(id_col), *[a.alias(f"_{name}") for name, a in arrays.items()])
     names = list(arrays)
     if neighbours:
-        rows = rows.withColumn("_key", F.transform("_word", key_of))
-        left, right = _around(F.col("_key"))
-        rows, names = rows.withColumns({"_left": left, "_right": right}), [*names, "key", "left", "right"]
+        after = F.concat(F.slice("_word", 2, F.greatest(F.size("_word"), F.lit(1))), F.array(F.lit(END)))
+        rows, names = rows.withColumns({"_before": F.concat(F.array(F.lit(START)), "_word"), "_after": after}), [*names, "before", "after"]
     zipped = F.arrays_zip(*[F.col(f"_{name}").alias(name) for name in names])
     rows = rows.select(id_col, (F.posexplode_outer if outer else F.posexplode)(zipped).alias("pos", "p"))
     return rows.select(id_col, "pos", *[F.col(f"p.{name}").alias(name) for name in names])
@@ -46,10 +40,37 @@ def tokens(texts: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("form", az_lower(F.col("word"))).withColumn("key", key_of(F.col("word")))
 
 
-def neighboured(texts: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """tokens with left and right, the keys beside, found inside the text: nothing is shuffled or sorted."""
-    rows = pieces(texts, id_col=id_col, text_col=text_col, neighbours=True).where("word is not null").drop("gap")
-    return rows.withColumn("form", az_lower(F.col("word")))
+def neighbour_keys(rows: DataFrame) -> DataFrame:
+    """left and right, the keys of before and after."""
+    return rows.withColumns({"left": key_of(F.col("before")), "right": key_of(F.col("after"))}).drop("before", "after")
+
+
+def neighboured(texts: DataFrame, *, id_col: str, text_col: str, keys: DataFrame | None = None) -> DataFrame:
+    """tokens with left and right, the keys beside, found inside the text: nothing is shuffled or sorted.
+
+    keys: only the tokens of these keys, whose neighbours alone are then looked at.
+    """
+    rows = pieces(texts, id_col=id_col, text_col=text_col, neighbours=True).where("word is not null").drop("gap").withColumn("key", key_of(F.col("word")))
+    if keys is not None:
+        rows = rows.join(keys.select("key"), "key", "left_semi")
+    return neighbour_keys(rows).withColumn("form", az_lower(F.col("word")))
+
+
+def with_words(text: Column, changed: Column) -> Column:
+    """text with the words at some places replaced; changed: (pos, out) structs in order of pos, or null."""
+
+    def spliced(x: Column) -> Column:
+        words = x["words"]
+        starts = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("out"))), changed)
+        ends = F.concat(F.transform(changed, lambda c: c["pos"]), F.array(F.size(words)))
+        none = F.array().cast("array<string>")
+        # Stretches of unchanged words are cut out once each.
+        parts = F.zip_with(starts, ends, lambda s, e: F.concat(F.when(s["out"].isNull(), none).otherwise(F.array(s["out"])), F.slice(words, s["pos"] + 2, e - s["pos"] - 1)))
+        return F.array_join(F.zip_with(x["gaps"], F.flatten(parts), lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+
+    # An array of one, so that the text is cut up once and not for every place.
+    cut = F.array(F.struct(words_of(text).alias("words"), F.split(text, WORD, -1).alias("gaps")))
+    return F.when(changed.isNull(), text).otherwise(F.transform(cut, spliced)[0])
 
 
 def spans(rows: DataFrame, *, id_col: str) -> DataFrame:

@@ -1,9 +1,8 @@
 """Restorers: texts typed without diacritics to texts with them, under the contract that only marks change.
 
-A restorer takes texts (id, text) and returns (id, text, restored).  Words are rewritten as rows and the
-text is put together again from (position, gap, word) rows, so very long texts are no single expression.
-Spellings are found by joins with tables that are built once; those that are counted and small are broadcast, so
-that the words of a text stay where they are until its text is put together.
+A restorer takes texts (id, text) and returns (id, text, restored).  Spellings are found once for each distinct
+word, in tables that are built once; those that are counted and small are broadcast.  Only the words that change are
+shuffled to their text, which is spliced with them.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmend.functions.letters import characters, is_foldable, keep_skeleton, key_of, restore_case, strip_diacritics
-from glyphmend.functions.words import joined, pieces, spans, with_neighbours
+from glyphmend.functions.words import joined, neighbour_keys, pieces, spans, with_neighbours, with_words, words_of
 from glyphmend.operators import context as ctx
 from glyphmend.operators.lexicon import ambiguous_keys, best_forms
 from glyphmend.operators.stored import small, stored
@@ -31,17 +30,21 @@ def keyed_pieces(texts: DataFrame, *, id_col: str, text_col: str, beside: dict[s
     return pieces(texts, id_col=id_col, text_col=text_col, beside=beside, outer=True).withColumn("key", key_of(F.col("word")))
 
 
+def word_rows(texts: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """id, pos, word."""
+    return texts.select(F.col(id_col), F.posexplode(words_of(F.col(text_col))).alias("pos", "word"))
+
+
 def _meeting(key: str, id_col: str) -> Column:
     """The key to join by: rows without a word meet nothing, and are spread by their text."""
     return F.coalesce(F.col(key), F.concat(F.lit("\u0000"), F.col(id_col).cast("string")))
 
 
-def _text(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and restored of (id, pos, gap, word, out) rows."""
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "gap", "word", "out")))
-    whole = lambda c: F.array_join(F.transform("_x", lambda x: F.concat(x["gap"], F.coalesce(x[c], F.lit("")))), "")
-    parts = rows.groupBy(id_col).agg(ordered.alias("_x"), F.count("gap").alias("_n"))
-    return parts.select(id_col, *[F.when(F.col("_n") > 0, whole(c)).alias(name) for c, name in (("word", text_col), ("out", "restored"))])
+def put_together(texts: DataFrame, changed: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """id, text, restored: texts with the (id, pos, out) words in place; only changed words are shuffled to their text."""
+    by_text = changed.groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_list(F.struct("pos", "out"))).alias("_changed"))
+    rows = texts.select(id_col, text_col).join(by_text, F.col(id_col) == F.col("_id"), "left")
+    return rows.select(id_col, text_col, with_words(F.col(text_col), F.col("_changed")).alias("restored"))
 
 
 @dataclass
@@ -66,12 +69,21 @@ class LexiconRestorer:
             self._best.append(small(stored(best_forms(self.lexicon).select(F.col("key").alias("_key"), F.col("form").alias("_form")))))
         return self._best[0]
 
+    def rewrites(self, words: DataFrame) -> DataFrame:
+        """_word, _out of the distinct words that change."""
+        asked = words.where("word is not null").select("word").distinct().withColumn("key", key_of(F.col("word")))
+        out = asked.join(self.best(), F.col("key") == F.col("_key")).select(F.col("word").alias("_word"), applied(F.col("word"), F.col("_form")).alias("_out"))
+        return small(stored(out.where("_word <> _out")))
+
     def words(self, rows: DataFrame, *, id_col: str) -> DataFrame:
-        """Adds out to (id, word, key) rows."""
-        return rows.join(self.best(), _meeting("key", id_col) == F.col("_key"), "left").withColumn("out", applied(F.col("word"), F.col("_form"))).drop("_key", "_form")
+        """Adds out to (id, word) rows: each distinct word is looked up once."""
+        met = rows.join(self.rewrites(rows), _meeting("word", id_col) == F.col("_word"), "left")
+        return met.withColumn("out", F.coalesce("_out", "word")).drop("_word", "_out")
 
     def transform(self, texts: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
-        return _text(self.words(keyed_pieces(texts, id_col=id_col, text_col=text_col), id_col=id_col), id_col, text_col)
+        rows = word_rows(texts, id_col=id_col, text_col=text_col)
+        changed = rows.join(self.rewrites(rows), F.col("word") == F.col("_word")).select(id_col, "pos", F.col("_out").alias("out"))
+        return put_together(texts, changed, id_col=id_col, text_col=text_col)
 
 
 @dataclass
@@ -107,20 +119,21 @@ class ContextRestorer:
         wide = F.col("base").isNull() | (F.col("lead") - F.col("base") >= self.margin)
         return rows.select("key", "left", "right", F.when(F.col("fallback").isNull() | wide, F.col("chosen")).otherwise(F.col("fallback")).alias("_form"))
 
-    def words(self, rows: DataFrame, *, id_col: str) -> DataFrame:
-        """Adds out to (id, word, key, left, right) rows."""
-        placed = rows
-        # Only words that the model has forms of are asked for; each different question once.
-        known = small(stored(self.forms.select("key").distinct()))
-        asked = ctx.as_features(placed.join(known, "key", "left_semi").select("key", "left", "right").distinct(), self.vocabulary, keep=True).distinct()
-        chosen = stored(self.choices(asked.select("key", "left", "right")).join(asked, ["key", "left", "right"]).select(F.col("key").alias("_ckey"), "_typed_left", "_typed_right", F.col("_form").alias("_context")))
-        same = (_meeting("key", id_col) == F.col("_ckey")) & (F.col("left") == F.col("_typed_left")) & (F.col("right") == F.col("_typed_right"))
-        fixed = self.fallback().words(placed.join(small(chosen), same, "left").drop("_ckey", "_typed_left", "_typed_right"), id_col=id_col)
-        return fixed.withColumn("out", F.when(F.col("_context").isNull(), F.col("out")).otherwise(applied(F.col("word"), F.col("_context")))).drop("_context")
+    def changed(self, rows: DataFrame, *, id_col: str) -> DataFrame:
+        """id, pos, out of the words that change, of (id, pos, word, before, after) rows."""
+        distinct = rows.select("word").distinct().withColumn("key", key_of(F.col("word")))
+        # Words of keys that the model has forms of are decided by their neighbours, all others by the lexicon.
+        unsure = small(stored(distinct.join(self.forms.select("key").distinct(), "key", "left_semi").select(F.col("word").alias("_unsure"), "key")))
+        plain = self.fallback().rewrites(distinct).join(unsure, F.col("_word") == F.col("_unsure"), "left_anti")
+        sure = rows.join(small(stored(plain)), F.col("word") == F.col("_word")).select(id_col, "pos", F.col("_out").alias("out"))
+        near = ctx.as_features(neighbour_keys(rows.join(unsure, F.col("word") == F.col("_unsure"))), self.vocabulary)
+        near = stored(near.select(id_col, "pos", "word", "key", "left", "right"))
+        chosen = near.join(small(stored(self.choices(near))), ["key", "left", "right"]).withColumn("out", applied(F.col("word"), F.col("_form")))
+        return sure.unionByName(chosen.where("out <> word").select(id_col, "pos", "out"))
 
     def transform(self, texts: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
-        rows = pieces(texts, id_col=id_col, text_col=text_col, outer=True, neighbours=True)
-        return _text(self.words(rows, id_col=id_col), id_col, text_col)
+        rows = pieces(texts, id_col=id_col, text_col=text_col, neighbours=True).where("word is not null")
+        return put_together(texts, self.changed(rows, id_col=id_col), id_col=id_col, text_col=text_col)
 
 
 @dataclass
@@ -159,7 +172,8 @@ class HybridRestorer:
 
     def transform(self, texts: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
         """tagger: (id, text) rows to (id, restored) rows of equal length."""
-        return _text(self.words(texts, id_col=id_col, text_col=text_col), id_col, text_col)
+        changed = self.words(texts, id_col=id_col, text_col=text_col).where("word <> out").select(id_col, "pos", "out")
+        return put_together(texts, changed, id_col=id_col, text_col=text_col)
 
 
 def changes(restored: DataFrame, *, id_col: str, text_col: str, out_col: str = "restored") -> DataFrame:

@@ -26,6 +26,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions than there are; larger tables are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """A stored df, to be broadcast if it has at most ``most`` rows; beyond, joins shuffle it."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -14,7 +14,7 @@ from glyphmend.operators import analysis, chat, corpus, markup, scoring, spellin
 from glyphmend.operators import context as ctx
 from glyphmend.operators import lexicon as lex
 from glyphmend.operators import restore as R
-from glyphmend.operators.stored import small, stored
+from glyphmend.operators.stored import small, spread, stored
 from glyphmend.plans import sql as Q
 from glyphmend.streaming.limits import limited
 
@@ -38,7 +38,7 @@ def query(sql: str | None = None, *needed: str, more: str = ""):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source")
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source"))
 
 
 def toks(spark: SparkSession, d: str) -> DataFrame:
@@ -66,13 +66,14 @@ def context_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
     """lexicon, forms, sides (not pruned), vocabulary"""
     words = kept_lexicon(spark, d)
     vocab = small(stored(ctx.neighbour_vocabulary(words)))
-    forms, sides = ctx.train(near(spark, d), small(stored(lex.ambiguous_keys(words))), vocab)
+    unsure = small(stored(lex.ambiguous_keys(words)))
+    forms, sides = ctx.train(W.neighboured(docs(spark, d), id_col="doc_id", text_col="text", keys=unsure), unsure, vocab)
     return words, stored(forms), sides, vocab
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     _, forms, sides, vocab = context_model(spark, d)
-    asked = ctx.as_features(near(spark, d).join(small(forms.select("key").distinct()), "key", "left_semi"), vocab)
+    asked = ctx.as_features(W.neighboured(docs(spark, d), id_col="doc_id", text_col="text", keys=small(stored(forms.select("key").distinct()))), vocab)
     return ctx.scores(asked, forms, ctx.prune(sides), vocab.count() + 3)
 
 

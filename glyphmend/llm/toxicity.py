@@ -85,10 +85,10 @@ def fit(texts: list[str | None], toxic: np.ndarray, *, keep: int = KEEP, l2: flo
     if n == 0 or ones in (0, n):
         return weights, float(-40.0 if ones == 0 else 40.0)
     place = np.empty(SLOTS, dtype=np.int32)
-    rows = [slots_of(t, place) for t in texts]
+    # The texts are read twice, first for the counts, so that only chosen n-grams are ever held for all of them.
     counts = np.zeros((2, SLOTS))
-    for r, y in zip(rows, toxic):
-        counts[int(y), r] += 1
+    for t, y in zip(texts, toxic):
+        counts[int(y), slots_of(t, place)] += 1
     ratio = np.log((counts[1] + 1) / (ones + 2)) - np.log((counts[0] + 1) / (n - ones + 2))
     seen = counts.sum(axis=0)
     # In standard errors of the log ratio: what chance alone gives to rare n-grams is left out.
@@ -98,7 +98,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, *, keep: int = KEEP, l2: flo
     chosen = chosen[worth[chosen] >= max(1e-9, min(LEAST_Z, 0.9 * worth.max()))]
     column = np.full(SLOTS, -1, dtype=np.int32)
     column[chosen] = np.arange(len(chosen))
-    rows = [c[c >= 0] for c in (column[r] for r in rows)]
+    rows = [c[c >= 0] for c in (column[slots_of(t, place)] for t in texts)]
     at = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
     cols = np.concatenate(rows) if at[-1] else np.empty(0, np.int32)
     which = np.repeat(np.arange(n), np.diff(at))

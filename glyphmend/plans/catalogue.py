@@ -16,7 +16,6 @@ from glyphmend.operators import lexicon as lex
 from glyphmend.operators import restore as R
 from glyphmend.operators.stored import small, spread, stored
 from glyphmend.plans import sql as Q
-from glyphmend.streaming.limits import limited
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -426,11 +425,6 @@ def capitalised_words(spark, d):
     return analysis.capitalised(word_pairs(spark, d))
 
 
-@query()
-def name_rules(spark, d):
-    return analysis.name_rules(analysis.capitalised(word_pairs(spark, d)), analysis.title_names(_titles(spark, d), title_col="title"), lexicon(spark, d))
-
-
 # Text statistics
 
 
@@ -481,14 +475,6 @@ def tagger_decisions(spark, d):
     return tagger.decisions(tagger.probabilities(docs(spark, d), model, id_col="doc_id", text_col="text"))
 
 
-@query()
-def unsure_letters(spark, d):
-    model = tagger.train(docs(spark, d), id_col="doc_id", text_col="text")
-    found = tagger.probabilities(typed(spark, d).select("doc_id", "typed"), model, id_col="doc_id", text_col="typed")
-    close = (F.col("probability") > 0.1) & (F.col("probability") < 0.9)
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("decided"), F.count_if(close).alias("hesitant"), F.min_by("at", F.struct(F.abs(F.col("probability") - 0.5), "at")).alias("closest"))
-
-
 # Spelling
 
 
@@ -536,30 +522,6 @@ def edits1_hits(spark, d):
 SQL["edits1_hits"] = Q.query("", "alpha", "known").rstrip() + f", {EDITS} select e.key, e.e as near, k.n::bigint as near_n from edits e join known k on k.key = e.e"
 
 
-@query()
-def suspicious_keys(spark, d):
-    words, endings = vocabulary(spark, d)
-    return spelling.suspicious(words, words, endings)
-
-
-SQL["suspicious_keys"] = (
-    Q.query("", "alpha", "cuts", "known").rstrip() + f", {ENDINGS}, {UNKNOWN_CUTS}, {EDITS} select key, n::bigint as n from words where n < 5 and length(key) >= 3 and key not in (select key from plaus)"
-    " union all select distinct e.key, e.n::bigint from edits e join known k on k.key = e.e where k.n >= 100 * e.n"
-)
-
-
-@query()
-def word_splits(spark, d):
-    words, _ = vocabulary(spark, d)
-    known = words.where("n >= 5")
-    rows = spelling._splits(words.where("n < 5").select("key", F.col("key").alias("joined")), known)
-    return rows.select("key", "first", "second")
-
-
-SQL["word_splits"] = Q.query("", "known").rstrip() + """, sp as (select key, substr(key, 1, c) as a, substr(key, c + 1) as b from (select key, unnest(range(2, length(key) - 1)) as c from words where n < 5 and length(key) >= 4))
-    select key, a as "first", b as "second" from sp where a in (select key from known) and b in (select key from known)"""
-
-
 @query()
 def spell_candidates(spark, d):
     """Corrections at one edit, or two where one finds nothing, and splits, of the keys that look misspelt."""
@@ -567,12 +529,6 @@ def spell_candidates(spark, d):
     return spelling.candidates(spelling.suspicious(words, words, endings), words).withColumn("words", F.array_join("words", " "))
 
 
-@query()
-def false_alarm_rates(spark, d):
-    words, endings = vocabulary(spark, d)
-    return spelling.false_alarms(docs(spark, d), words, endings, id_col="doc_id", text_col="text")
-
-
 # Markup, chat, limits
 
 
@@ -605,18 +561,3 @@ def chat_sample(spark, d):
     """A report: 50 lines of one author."""
     lines = chat.kept_lines(messages(spark, d).where("author = 'user'"), order=("conv_id", "turn"))
     return chat.sample(lines, 50).select("text")
-
-
-@query()
-def rate_limiter(spark, d):
-    rows = spark.read.parquet(f"{d}/events.parquet")
-    out = limited(rows, user_col="user_id", time_col="ts", id_col="event_id", allowance=2, window=6 * 3600.0)
-    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("requests"), F.count_if("admitted").alias("admitted"))
-
-
-def queries() -> dict[str, Query]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphmend.functions import letters as L
-from glyphmend.functions import words as W
 from glyphmend.operators import analysis, annotate, scoring, spelling, tagger, training
 from glyphmend.operators import context as ctx
-from glyphmend.operators import lexicon as lex
 from glyphmend.operators import restore as R
-from glyphmend.operators.stored import small, stored
+from glyphmend.operators.stored import stored
 from glyphmend.plans import catalogue as C
 from glyphmend.plans import sql as Q
-from glyphmend.plans.catalogue import SQL, docs, kept_lexicon, query, toks, typed, vocabulary
+from glyphmend.plans.catalogue import docs, kept_lexicon, query, typed, vocabulary
+from glyphmend.streaming.limits import limited
 
 # Tagger and hybrid
 
@@ -66,9 +65,9 @@ def unsure_letters(spark, d):
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("decided"), F.count_if(close).alias("hesitant"), F.min_by("at", F.struct(F.abs(F.col("probability") - 0.5), "at")).alias("closest"))
 
 
-@query(f"""select doc_id, start::bigint as start, "end"::bigint as "end", md5(substr(restored, start + 1, "end" - start)) as "to" from (select doc_id, restored, list_min(at) as start, list_max(at) + 1 as "end" from (
-    select r.doc_id, r.restored, list_filter(range(length(t.typed)), lambda i: substr(t.typed, i + 1, 1) <> substr(r.restored, i + 1, 1)) as at from restored r join typed t using (doc_id)
-    where length(t.typed) < 2000) where len(at) > 0) union all select doc_id, null, null, 'long' from typed where length(typed) >= 2000""", "restored", "typed")
+@query(f"""select doc_id, "start"::bigint as "start", "end"::bigint as "end", md5(substr(restored, "start" + 1, "end" - "start")) as "to" from (select doc_id, restored, list_min(spots) as "start", list_max(spots) + 1 as "end" from (
+    select r.doc_id, r.restored, list_filter(range(length(t.typed)), lambda i: substr(t.typed, i + 1, 1) <> substr(r.restored, i + 1, 1)) as spots from restored r join typed t using (doc_id)
+    where length(t.typed) < 2000) where len(spots) > 0) union all select doc_id, null, null, 'long' from typed where length(typed) >= 2000""", "restored", "typed")
 def edit_stretches(spark, d):
     """The least stretch of each text that the lexicon restorer rewrites; texts of 2,000 characters or more are named only, as in an editor."""
     out = R.LexiconRestorer(kept_lexicon(spark, d)).transform(typed(spark, d), id_col="doc_id", text_col="typed")
@@ -166,8 +165,6 @@ def masked_pairs(spark, d):
     select user_id, count(*) as requests, sum(admitted::int)::bigint as admitted from run group by user_id""")
 def rate_limiter(spark, d):
     """Two requests in six hours: the last but one that was admitted decides."""
-    from glyphmend.streaming.limits import limited
-
     rows = spark.read.parquet(f"{d}/events.parquet")
     out = limited(rows, user_col="user_id", time_col="ts", id_col="event_id", allowance=2, window=6 * 3600.0)
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("requests"), F.count_if("admitted").alias("admitted"))
@@ -178,8 +175,3 @@ def annotated_answers(spark, d):
     """Answers to every document: the right text for a third of them, a refused one (another word) for the others."""
     rows = typed(spark, d).select("doc_id", "typed", F.col("typed").alias("suggestion"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise("qqqzzzqqq").alias("answer"))
     return annotate.applied_answers(rows, id_col="doc_id").select("doc_id", F.md5("correct").alias("correct"))
-
-
-for _name in ("suspicious_keys", "word_splits"):
-    assert _name in SQL
-_ = (W, lex, small, toks)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmend.functions.letters import az_lower, case_of, characters, is_all_capitals, is_upper, key_of, strip_diacritics
+from glyphmend.functions.sentences import split_name
 from glyphmend.functions.words import words_of
 from glyphmend.operators.lexicon import ambiguous_keys, key_facts
 from glyphmend.operators.stored import small, stored
@@ -51,6 +52,11 @@ def mistakes(words: DataFrame, limit: int = 50) -> DataFrame:
     return counts.orderBy(F.desc("n"), "expected", "produced").limit(limit)
 
 
+def in_training(rows: DataFrame, *, id_col: str) -> DataFrame:
+    """The rows whose document belongs to the training split."""
+    return rows.where(split_name(F.col(id_col).cast("string")) == "train")
+
+
 def title_names(titles: DataFrame, *, title_col: str) -> DataFrame:
     """key, word, n of the name-like words of titles."""
     rows = titles.select(F.explode(words_of(F.col(title_col))).alias("word")).withColumn("key", key_of(F.col("word")))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glyphmend.facade import Engine
 from glyphmend.functions import letters as L
-from glyphmend.operators import analysis, annotate, scoring, spelling, tagger, training
+from glyphmend.operators import analysis, annotate, chat, scoring, spelling, tagger, training
 from glyphmend.operators import context as ctx
 from glyphmend.operators import restore as R
 from glyphmend.operators.stored import stored
 from glyphmend.plans import catalogue as C
 from glyphmend.plans import sql as Q
-from glyphmend.plans.catalogue import docs, kept_lexicon, query, typed, vocabulary
+from glyphmend.plans.catalogue import SQL, docs, kept_lexicon, query, typed, vocabulary
 from glyphmend.streaming.limits import limited
 
 # Tagger and hybrid
@@ -67,12 +68,12 @@ def unsure_letters(spark, d):
 
 @query(f"""select doc_id, "start"::bigint as "start", "end"::bigint as "end", md5(substr(restored, "start" + 1, "end" - "start")) as "to" from (select doc_id, restored, list_min(spots) as "start", list_max(spots) + 1 as "end" from (
     select r.doc_id, r.restored, list_filter(range(length(t.typed)), lambda i: substr(t.typed, i + 1, 1) <> substr(r.restored, i + 1, 1)) as spots from restored r join typed t using (doc_id)
-    where length(t.typed) < 2000) where len(spots) > 0) union all select doc_id, null, null, 'long' from typed where length(typed) >= 2000""", "restored", "typed")
+    where length(t.typed) < 2000) where len(spots) > 0) union all select doc_id, -1, -1, 'long' from typed where length(typed) >= 2000""", "restored", "typed")
 def edit_stretches(spark, d):
     """The least stretch of each text that the lexicon restorer rewrites; texts of 2,000 characters or more are named only, as in an editor."""
     out = R.LexiconRestorer(kept_lexicon(spark, d)).transform(typed(spark, d), id_col="doc_id", text_col="typed")
     short = out.where(F.length("typed") < 2000).select("doc_id", R.edit_stretch(F.col("typed"), F.col("restored")).alias("s")).where("s is not null")
-    long = out.where(F.length("typed") >= 2000).select("doc_id", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit("long").alias("to"))
+    long = out.where(F.length("typed") >= 2000).select("doc_id", F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"), F.lit("long").alias("to"))
     return short.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.md5("s.to").alias("to")).unionByName(long)
 
 
@@ -175,3 +176,102 @@ def annotated_answers(spark, d):
     """Answers to every document: the right text for a third of them, a refused one (another word) for the others."""
     rows = typed(spark, d).select("doc_id", "typed", F.col("typed").alias("suggestion"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise("qqqzzzqqq").alias("answer"))
     return annotate.applied_answers(rows, id_col="doc_id").select("doc_id", F.md5("correct").alias("correct"))
+
+
+@query(f"select doc_id, md5(translate(text, '{L.PLAIN}', '{L.ACCENTED}')) as marked, md5(text) as kept from documents")
+def label_marks(spark, d):
+    """Every foldable letter marked over what was typed, and nothing marked, by labels."""
+    rows = docs(spark, d).select("doc_id", "text", L.characters(F.col("text")).alias("c"))
+    every, none = F.transform("c", lambda x: F.lit(1)), F.transform("c", lambda x: F.lit(0))
+    return rows.select("doc_id", F.md5(L.restore_with_labels(F.col("text"), every)).alias("marked"), F.md5(L.restore_with_labels(F.col("text"), none)).alias("kept"))
+
+
+@query(f"""select out, count(*) as n from (select case when length(word) > 1 and {Q.is_upper('word')} then {Q.upper('l')} when {Q.is_upper('substr(word, 1, 1)')} then {Q.upper('substr(l, 1, 1)')} || {Q.lower('substr(l, 2)')}
+    else {Q.lower('l')} end as out from near) group by out""", "near")
+def words_in_case(spark, d):
+    """The key of the word before, in the case of the word itself."""
+    return C.near(spark, d).groupBy(L.in_case_of(F.col("word"), F.col("left")).alias("out")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Reports
+
+
+@query()
+def error_shares(spark, d):
+    words = kept_lexicon(spark, d)
+    return analysis.kind_shares(analysis.error_kinds(C.word_pairs(spark, d, words), words))
+
+
+SQL["error_shares"] = f"""with k as materialized ({SQL['error_kinds']}), s as (select sum(words) filter (where kind = 'lowercase' or kind = 'all capitals' or kind like 'capitalised, %') as w, max(errors) filter (where kind = 'all') as e from k)
+    select kind, words, errors, round(words / w, 4) as share_of_words, round(coalesce(errors / nullif(e, 0), 0), 4) as share_of_errors, round(coalesce(errors / nullif(words, 0), 0), 4) as rate from k cross join s"""
+
+
+@query(f"""select domain, system, words, correct, word_accuracy, round(word_accuracy - first_value(word_accuracy) over (partition by domain order by system = 'identity' desc), 4) as gain from (
+    select lang as domain, system, count(*) as words, sum((expected = out)::int)::bigint as correct, round(sum((expected = out)::int) / count(*), 4) as word_accuracy from made join documents using (doc_id) group by 1, 2)""", "pair", "ambiguous", "feat", "cbest", "ttok", more=SYSTEMS)
+def domain_rates(spark, d):
+    """Three systems in every language's texts, and what each gains over the first."""
+    words, forms, sides, vocab = C.context_model(spark, d)
+    line_up = [R.Identity(), R.LexiconRestorer(words), R.ContextRestorer(words, forms, ctx.prune(sides), vocab, vocab.count() + 3)]
+    rows = scoring.by_domain(scoring.evaluate(docs(spark, d), line_up, words, id_col="doc_id", text_col="text", group_col="lang"), "lang", first="identity")
+    return rows.where("words > 0").select(F.col("lang").alias("domain"), "system", "words", "correct", "word_accuracy", F.col("word_accuracy_gain").alias("gain"))
+
+
+@query(f"""select {Q.key('word')} as key, word, count(*) as n from (select unnest(regexp_extract_all(title, '{Q.WORD}')) as word from (select regexp_extract(html, '<title>([^<]*)', 1) as title from pages where {Q.split_name('page_id::varchar')} = 'train'))
+    where {Q.is_upper('substr(word, 1, 1)')} and regexp_matches({Q.key('word')}, '[cegiosu]') group by 1, 2""")
+def training_title_names(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    return analysis.title_names(analysis.in_training(pages, id_col="page_id"), title_col="title")
+
+
+@query("""select doc_id, md5(string_agg(gap || coalesce(case when start % 2 = 0 then word else out end, ''), '' order by pos)) as restored from (
+    select *, sum(length(gap) + coalesce(length(word), 0)) over (partition by doc_id order by pos rows unbounded preceding) - coalesce(length(word), 0) as start from lexout) group by doc_id""", "lexout")
+def changes_reverted(spark, d):
+    """The lexicon restorer's texts without the changes that start at an even place."""
+    found = R.changed_words(C.lexicon_rows(spark, d, kept_lexicon(spark, d)), id_col="doc_id")
+    out = R.revert(found, typed(spark, d), found.where("start % 2 = 0"), id_col="doc_id", text_col="typed")
+    return out.select("doc_id", F.md5("restored").alias("restored"))
+
+
+# Chat
+
+
+@query("""select conv_id, turn, role as author, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: i = 1 or regexp_matches(x, '\\S')), ' ')) as text from conversations""")
+def chat_import(spark, d):
+    """All conversations as exported lines, read back as messages."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("nth", "part"))
+    line = F.when(F.col("nth") == 0, F.concat(F.lit("1/2/24, 10:00 - "), "role", F.lit(": "), "part")).otherwise(F.col("part"))
+    lines = rows.select("conv_id", (F.col("turn") * 1000000 + F.col("nth")).alias("pos"), line.alias("line"))
+    back = chat.whatsapp_messages(lines, file_col="conv_id")
+    return back.select("conv_id", F.floor(F.col("pos") / 1000000).alias("turn"), "author", F.md5("text").alias("text"))
+
+
+@query(f"with {C.USABLE} select distinct line as text from lines l join conversations c using (conv_id, turn) where line is not null and role = 'user' and line not in (select line from lines l join conversations c using (conv_id, turn) where line is not null and role <> 'user')")
+def fresh_lines(spark, d):
+    """One author's lines that no other author has."""
+    rows = C.messages(spark, d)
+    known = chat.kept_lines(rows.where("author <> 'user'"), order=("conv_id", "turn"))
+    return chat.kept_lines(rows.where("author = 'user'"), known, order=("conv_id", "turn")).select("text")
+
+
+@query("select doc_id from typed where typed not in (select t.typed from typed t join documents using (doc_id) where source = 'src0')", "typed")
+def pending_annotations(spark, d):
+    """Texts that are not among those of the source that is done."""
+    rows = typed(spark, d).select("doc_id", "typed")
+    done = docs(spark, d).where("source = 'src0'").select(L.strip_diacritics(F.col("text")).alias("typed"))
+    return annotate.pending(rows, done).select("doc_id")
+
+
+@query()
+def request_answers(spark, d):
+    """Every text as a request of its source, one in five seconds admitted: status, answer and number of changes."""
+    asked = typed(spark, d).join(docs(spark, d).select("doc_id", "source"), "doc_id").select(F.col("doc_id").alias("id"), F.col("typed").alias("text"), F.col("source").alias("user"), F.col("doc_id").cast("double").alias("time"))
+    out = Engine(R.LexiconRestorer(kept_lexicon(spark, d))).requests(asked, allowance=1, window=5.0)
+    return out.select("id", "status", F.md5("text").alias("text"), F.size("changes").alias("changes"))
+
+
+SQL["request_answers"] = "with recursive " + Q.query("", "lexout", "restored").strip().removeprefix("with ") + """, ev as materialized (select doc_id, source, doc_id::double as t, row_number() over (partition by source order by doc_id) as nth from documents),
+    run as (select doc_id, source, nth, true as admitted, t as last from ev where nth = 1 union all
+    select e.doc_id, e.source, e.nth, e.t - r.last > 5, case when e.t - r.last > 5 then e.t else r.last end from run r join ev e on e.source = r.source and e.nth = r.nth + 1),
+    changed as (select doc_id, count(*) as n from lexout where word <> out group by 1)
+    select r.doc_id as id, case when not admitted then 429 when length(restored) <= 10000 then 200 else 422 end as status, case when admitted and length(restored) <= 10000 then md5(restored) end as text,
+    case when admitted and length(restored) <= 10000 then coalesce(n, 0) else 0 end::int as changes from run r join restored using (doc_id) left join changed using (doc_id)"""

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmend import facade
+from glyphmend.functions.sentences import split_name
 from glyphmend.functions.words import tokens
 from glyphmend.operators import lexicon as lex
 from glyphmend.operators import restore as R
-from glyphmend.operators import spelling, training
+from glyphmend.operators import analysis, scoring, spelling, training
 from glyphmend.operators import spelling_grid as grid
 from glyphmend.sources import exports, files
 
@@ -120,3 +121,14 @@ def test_byte_budget_counts_and_report(spark):
     pages = spark.createDataFrame([("long enough",), ("no",), (None,)], "text string")
     assert tuple(exports.extraction_counts(pages, least=5).first()) == (1, 2)
     assert exports.markdown(spark.createDataFrame([("a", 0.125, None)], "x string, y double, z int")) == "| x | y | z |\n|-|-|-|\n| a | 0.12 |  |"
+
+
+def test_rates_by_domain_and_training_titles(spark):
+    counters = dict(words=10, correct=5, ambiguous=2, ambiguous_correct=1, chars=50, wrong_chars=5, sentences=1, exact=0, unseen=0)
+    rows = [{"lang": lang, "system": system, **counters, "correct": right} for lang, system, right in (("a", "x", 5), ("a", "y", 8), (None, "x", 2), (None, "y", 1))]
+    df = spark.createDataFrame(rows, "lang string, system string, " + ", ".join(f"{c} long" for c in counters))
+    got = {(r.lang, r.system): (r.word_accuracy, r.word_accuracy_gain) for r in scoring.by_domain(df, "lang", first="x").collect()}
+    assert got == {("a", "x"): (0.5, 0.0), ("a", "y"): (0.8, 0.3), (None, "x"): (0.2, 0.0), (None, "y"): (0.1, -0.1)}
+    ids = spark.range(200)
+    kept = analysis.in_training(ids, id_col="id").count()
+    assert 150 < kept < 200 and analysis.in_training(ids, id_col="id").select(split_name(F.col("id").cast("string")).alias("s")).distinct().collect()[0].s == "train"

@@ -9,7 +9,9 @@ import pytest
 import __spark_entry__ as entry
 from glyphmend.plans import registry
 
-SMALL = ("az_fold", "char_labels", "word_spans", "sentences", "corpus_stats", "lexicon_best", "lexicon_stats", "context_best", "restore_lexicon", "restore_context", "rates", "error_kinds", "suspicious_keys", "tagger_decisions", "chat_usable", "html_clean")
+SMALL = (
+    "az_fold", "char_labels", "word_spans", "sentences", "corpus_stats", "lexicon_best", "lexicon_stats", "context_best", "restore_lexicon", "restore_context", "rates", "error_kinds", "suspicious_keys", "tagger_decisions", "chat_usable", "html_clean",
+    "word_splits", "name_rules", "unsure_letters", "rate_limiter", "edit_stretches", "changes_reverted", "request_answers", "chat_import")
 
 
 def rows_of(frame):
@@ -20,7 +22,7 @@ def rows_of(frame):
 @pytest.mark.parametrize("name", SMALL)
 def test_queries_match_their_sql(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "events"):
         con.execute(f"create view {table} as select * from read_parquet('{sf}/{table}.parquet')")
     got, want = registry.queries()[name](spark, sf).toPandas(), con.execute(registry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows_of(got) == rows_of(want)

@@ -1,7 +1,11 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from glyphmend.llm import near_copies as near
 from glyphmend.llm.near_copies import near_copies, rarest
+from glyphmend.llm.simhash import Tree
 
 
 def slow_shingles(text):
@@ -72,3 +76,46 @@ def test_texts_on_one_template_are_not_paired(spark):
     rows = spark.createDataFrame(list(texts.items()), "node long, text string")
     first = rarest(rows).groupBy("shingle").count().agg({"count": "max"}).first()[0]
     assert first <= 60, "the template's own shingles are in no prefix but those of texts that are nearly all template"
+
+
+def dense_group(rng, n):
+    """A group of near copies that are 0.6 to 0.95 similar to each other, and as many texts of their own."""
+    base = [f"b{i}" for i in range(120)]
+    texts = {i: " ".join(f"n{rng.randrange(10**9)}" if rng.random() < (i % 5) / 100 else w for w in base) for i in range(n)}
+    return texts | {n + i: " ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for i in range(n)}
+
+
+def test_candidates_come_from_the_trees(spark):
+    """Trees and shards join just the texts that one fingerprint and the other bits bring near, as by comparing all with all."""
+    texts = dense_group(random.Random(13), 300)
+    signed = np.array([near.signature(near.shingles(t)) for t in texts.values()])
+    apart = np.bitwise_count(signed["tree"][:, None] ^ signed["tree"][None]).min(axis=2)
+    checked = np.bitwise_count(signed["checked"][:, None] ^ signed["checked"][None]).sum(axis=2)
+    true, links = np.arange(len(texts)), np.argwhere((apart <= near.RADIUS) & (checked <= near.APART))
+    near._union(true, links[:, 0], links[:, 1])
+    true = [near._find(true, i) for i in range(len(texts))]
+    distinct = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in zip(texts, signed)], "fp long, signature binary")
+    for shard in (40, 1 << 17):
+        root = np.arange(len(texts))
+        found = near.candidate_links(distinct, shard=shard).collect()
+        assert len(found) <= near.TREES * 40 * len(texts), "one link a text in a shard"
+        near._union(root, np.array([r.a for r in found]), np.array([r.b for r in found]))
+        assert [near._find(root, i) for i in range(len(texts))] == true
+    tree = Tree.fit(np.ascontiguousarray(signed["tree"][:, 0]), len(texts), radius=near.RADIUS, shard=40)
+    assert tree.shards > 4 and len(tree.deal(signed["tree"][:, 0], near.RADIUS)[1]) > len(texts), "shards overlap"
+
+
+def test_fingerprints_are_near_for_what_is_similar():
+    rng, lost, far = random.Random(14), 0, 0
+    for _ in range(1500):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((9, 40, 98)))]
+        other = words[:-1] if len(words) == 9 else replaced(rng, " ".join(words), 0).split()
+        if len(words) > 9:
+            other[rng.randrange(4, len(words) - 4)] = "x"
+            other[0] = "y" if len(words) == 98 else other[0]
+        a, b = (near.shingles(" ".join(w)) for w in (words, other))
+        if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
+            x, y = near.signature(a), near.signature(b)
+            lost += np.bitwise_count(x["tree"] ^ y["tree"]).min() > near.RADIUS or np.bitwise_count(x["checked"] ^ y["checked"]).sum() > near.APART
+            far += 1
+    assert far > 700 and lost <= 3

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from glyphmend.llm import chunks, simhash
 from glyphmend.llm.chunks import boundaries, dedup_substrings, runs
+from glyphmend.llm import components as components_module
+from glyphmend.llm.common import checkpointed
 from glyphmend.llm.components import components
 
 
@@ -102,6 +104,26 @@ def test_components(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_components_of_few_edges_take_few_tasks(spark, monkeypatch):
+    """Every shuffle of a round leaves files for each task, whatever the edges: few edges must not go through all partitions."""
+    parts, settings = [], {"spark.sql.shuffle.partitions": "31", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    monkeypatch.setattr(components_module, "checkpointed", lambda df: parts.append((out := checkpointed(df)).rdd.getNumPartitions()) or out)
+    kept = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+        assert {r.root for r in components_module.components(edges).collect()} == {0}
+        assert len(parts) > 2 and set(parts[1:]) == {1}
+        monkeypatch.setattr(components_module, "EDGES", 20)
+        parts.clear()
+        assert {r.root for r in components_module.components(edges).collect()} == {0}
+        assert set(parts[1:]) == {11}
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+
+
 def words(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
 

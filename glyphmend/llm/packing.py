@@ -119,6 +119,8 @@ def _tokenise(path: str, groups: int, end_id: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(group, pa.int32()), pa.array(order, pa.int64()), b["_id"], pa.array(ids, pa.binary())], names=["group", "order", "_id", "ids"]
                 )
+        # Workers outlive their stage: pieces that stay would take room beside all that run after it.
+        code.cache.clear()
 
     return tokenise
 

@@ -1,9 +1,11 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Features: presence of hashed character n-grams (``ORDERS``) in the whole lower-cased text, white space
-collapsed.  Training, on a bounded sample of labelled rows (``MAX_ROWS`` a class, by order of a hash, in
-one task): log-count ratios r of every n-gram, the ``KEEP`` n-grams of largest |r| in its standard errors,
-then an L2-regularised logistic regression on the features scaled by r.  Where no n-gram is ``LEAST_Z`` errors off, the
+collapsed.  Training, on a bounded sample of labelled rows (``MAX_ROWS`` a class, by order of a hash): log-count
+ratios r of every n-gram, the ``KEEP`` n-grams of largest |r| in its standard errors, then an L2-regularised
+logistic regression on the features scaled by r.  Map tasks read the texts, once to count and once for the places of
+the chosen n-grams; only these places (16 bits each) meet in the one task of the regression, which goes over them in
+blocks, so its memory does not follow the texts' length.  Where no n-gram is ``LEAST_Z`` errors off, the
 bar is at nine tenths of the best: of 68 labelled rows with 10 toxic ones the best is 3.3 errors off, of 329 rows with
 45 toxic ones 127 n-grams pass the bar, so only fits on a few dozen rows meet this case.  The model is a table of ``SLOTS``
 float32 weights, broadcast; scoring is one map over the texts, without a shuffle.
@@ -22,13 +24,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmend.llm.common import unpacked, whole_row
+from glyphmend.llm.common import checkpointed, unpacked, whole_row
 
 ORDERS = (3, 4, 5, 6)
 SLOTS = 1 << 20
@@ -40,6 +41,12 @@ LEAST_DOCS = 4
 #: Standard errors from zero that an n-gram's log-count ratio must be.
 LEAST_Z = 4.0
 PIECE = 1 << 20
+#: Tasks that read the labelled rows, at most, and ranges of slots whose counts meet in a task each.
+TALLIES, RANGES = 16, 16
+#: Places that the regression goes over at once.
+BLOCK = 1 << 18
+#: Texts of a batch that are strings at once.
+FEW = 256
 _PRIMES = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393, 2869860233], dtype=np.uint64).astype(np.uint32)
 
 
@@ -78,63 +85,155 @@ def slots_of(text: str | None, place: np.ndarray) -> np.ndarray:
     return out[0] if len(out) == 1 else _distinct(np.concatenate(out), place)
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, *, keep: int = KEEP, l2: float = 1.0, steps: int = 120) -> tuple[np.ndarray, float]:
-    """(weights by slot, intercept) from labelled texts."""
-    n, ones = len(texts), int(toxic.sum())
-    weights = np.zeros(SLOTS, dtype=np.float32)
-    if n == 0 or ones in (0, n):
-        return weights, float(-40.0 if ones == 0 else 40.0)
-    place = np.empty(SLOTS, dtype=np.int32)
-    # The texts are read twice, first for the counts, so that only chosen n-grams are ever held for all of them.
-    counts = np.zeros((2, SLOTS))
-    for t, y in zip(texts, toxic):
-        counts[int(y), slots_of(t, place)] += 1
+def _chosen(counts: np.ndarray, n: int, ones: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slots, log-count ratios, worths) of the n-grams to keep by counts (clean, toxic) of each slot, best first."""
     ratio = np.log((counts[1] + 1) / (ones + 2)) - np.log((counts[0] + 1) / (n - ones + 2))
-    seen = counts.sum(axis=0)
     # In standard errors of the log ratio: what chance alone gives to rare n-grams is left out.
-    worth = np.where(seen >= LEAST_DOCS, np.abs(ratio) / np.sqrt(1 / (counts[0] + 1) + 1 / (counts[1] + 1)), 0.0)
-    chosen = np.sort(np.argsort(-worth, kind="stable")[:keep])
+    worth = np.where(counts.sum(axis=0) >= LEAST_DOCS, np.abs(ratio) / np.sqrt(1 / (counts[0] + 1) + 1 / (counts[1] + 1)), 0.0)
+    slots = _best(np.arange(len(worth)), worth, keep)
+    return slots, ratio[slots], worth[slots]
+
+
+def _best(slots: np.ndarray, worth: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the keep best worths that reach the bar, best first, ties to the smaller slot."""
+    if not len(worth):
+        return np.empty(0, np.int64)
+    best = np.lexsort((slots, -worth))[:keep]
     # In a small sample nothing reaches the bar: there it is at nine tenths of the best.
-    chosen = chosen[worth[chosen] >= max(1e-9, min(LEAST_Z, 0.9 * worth.max()))]
+    return best[worth[best] >= max(1e-9, min(LEAST_Z, 0.9 * worth.max()))]
+
+
+def _places(text: str | None, column: np.ndarray, place: np.ndarray, kind: str) -> bytes:
+    """The places among the chosen n-grams (column: by slot, else -1) of a text's n-grams, packed."""
+    c = column[slots_of(text, place)]
+    return c[c >= 0].astype(kind).tobytes()
+
+
+def _kind(chosen: int) -> str:
+    return "<u2" if chosen <= 1 << 16 else "<i4"
+
+
+def _column(chosen: np.ndarray) -> np.ndarray:
     column = np.full(SLOTS, -1, dtype=np.int32)
     column[chosen] = np.arange(len(chosen))
-    rows = [c[c >= 0] for c in (column[slots_of(t, place)] for t in texts)]
-    at = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-    cols = np.concatenate(rows) if at[-1] else np.empty(0, np.int32)
-    which = np.repeat(np.arange(n), np.diff(at))
-    scale = ratio[chosen]
+    return column
+
+
+def _regression(places: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, scale: np.ndarray, *, l2: float = 1.0, steps: int = 120) -> tuple[np.ndarray, float]:
+    """(weights, intercept) of the n-grams by their places in all texts, one after another, sizes of them in each."""
+    n, ones, m = len(sizes), int(toxic.sum()), len(scale)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    cuts = np.unique(np.concatenate(([0], np.searchsorted(at, np.arange(BLOCK, at[-1], BLOCK)), [n]))).tolist()
     y = toxic.astype(float)
     # Half-way between equal classes and equal rows, so that a rare class counts without false alarms.
     mass = math.sqrt(ones / (n - ones))
     share = np.where(y == 1, mass / (1 + mass) / ones, 1 / (1 + mass) / (n - ones))
-    w, b = np.zeros(len(chosen)), 0.0
-    velocity, vb = np.zeros(len(chosen)), 0.0
+
+    def swept(w: np.ndarray, b: float, error) -> tuple[np.ndarray, float]:
+        """The gradient by w and b, where error gives each text's from its sum."""
+        scaled, errors, grad = w * scale, np.empty(n), np.zeros(m)
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            cols, size = places[at[i] : at[j]], sizes[i:j]
+            z = np.bincount(np.repeat(np.arange(j - i), size), weights=scaled[cols], minlength=j - i) + b
+            errors[i:j] = error(z, slice(i, j))
+            grad += np.bincount(cols, weights=np.repeat(errors[i:j], size), minlength=m)
+        return scale * grad, errors.sum()
+
+    w, b = np.zeros(m), 0.0
+    velocity, vb = np.zeros(m), 0.0
     # Accelerated gradient; the step follows the largest curvature, found by power iteration.
-    v, curve = np.ones(len(chosen) + 1), 1.0
+    v, curve = np.ones(m + 1), 1.0
     for _ in range(15):
-        z = np.bincount(which, weights=(v[:-1] * scale)[cols], minlength=n) + v[-1]
-        v = np.append(scale * np.bincount(cols, weights=(share * z)[which], minlength=len(chosen)), (share * z).sum())
+        v = np.append(*swept(v[:-1], v[-1], lambda z, k: share[k] * z))
         curve = float(np.linalg.norm(v))
         v /= max(curve, 1e-12)
     rate = 1.0 / (0.25 * 1.2 * curve + l2 / n + 1e-9)
     for k in range(steps):
         momentum = k / (k + 3)
         wx, bx = w + momentum * velocity, b + momentum * vb
-        z = np.bincount(which, weights=(wx * scale)[cols], minlength=n) + bx
-        error = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        grad = scale * np.bincount(cols, weights=error[which], minlength=len(chosen)) + l2 / n * wx
-        new_w, new_b = wx - rate * grad, bx - rate * error.sum()
+        grad, by = swept(wx, bx, lambda z, k: share[k] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[k]))
+        new_w, new_b = wx - rate * (grad + l2 / n * wx), bx - rate * by
         velocity, vb, w, b = new_w - w, new_b - b, new_w, new_b
-    weights[chosen] = (w * scale).astype(np.float32)
-    return weights, float(b)
+    return (w * scale).astype(np.float32), float(b)
+
+
+def fit(texts: list[str | None], toxic: np.ndarray, *, keep: int = KEEP, l2: float = 1.0, steps: int = 120) -> tuple[np.ndarray, float]:
+    """(weights by slot, intercept) from labelled texts; what ``train`` does in tasks."""
+    n, ones = len(texts), int(toxic.sum())
+    weights = np.zeros(SLOTS, dtype=np.float32)
+    if n == 0 or ones in (0, n):
+        return weights, float(-40.0 if ones == 0 else 40.0)
+    place = np.empty(SLOTS, dtype=np.int32)
+    # The texts are read twice, first for the counts, so that only chosen n-grams are ever held for all of them.
+    counts = np.zeros((2, SLOTS), dtype=np.int32)
+    for t, y in zip(texts, toxic):
+        counts[int(y), slots_of(t, place)] += 1
+    chosen, ratio, _ = _chosen(counts, n, ones, keep)
+    order = np.argsort(chosen)
+    chosen, scale, kind = chosen[order], ratio[order], _kind(len(chosen))
+    column = _column(chosen)
+    packs = [_places(t, column, place, kind) for t in texts]
+    sizes = np.array([len(p) for p in packs], dtype=np.int64) // np.dtype(kind).itemsize
+    weights[chosen], b = _regression(np.frombuffer(b"".join(packs), kind), sizes, toxic, scale, l2=l2, steps=steps)
+    return weights, b
+
+
+def _each(texts: pa.Array) -> Iterator[str | None]:
+    """The texts of a batch, few at a time as strings."""
+    for k in range(0, len(texts), FEW):
+        yield from texts.slice(k, FEW).to_pylist()
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of each class have each slot, packed by range of slots."""
+    place, counts = np.empty(SLOTS, dtype=np.int32), np.zeros((2, SLOTS), dtype=np.int32)
+    for b in batches:
+        for t, y in zip(_each(b["_text"]), b["_toxic"].to_pylist()):
+            counts[y, slots_of(t, place)] += 1
+    width, keys, packs = SLOTS // RANGES, [], []
+    for k in range(RANGES):
+        here = counts[:, k * width : (k + 1) * width]
+        seen = np.flatnonzero(here.any(axis=0))
+        if len(seen):
+            keys.append(k)
+            packs.append(np.vstack([seen, here[:, seen]]).astype("<i4").tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(packs, pa.binary())], names=["range", "pack"])
+
+
+def _choose(n: int, ones: int, keep: int):
+    def choose(group: pa.Table) -> pa.Table:
+        width = SLOTS // RANGES
+        counts = np.zeros((2, width), dtype=np.int32)
+        for p in group["pack"]:
+            seen, clean, toxic = np.frombuffer(p.as_py(), "<i4").reshape(3, -1)
+            counts[0, seen] += clean
+            counts[1, seen] += toxic
+        # What is under the bar of its range is under that of all.
+        slots, ratio, worth = _chosen(counts, n, ones, keep)
+        slots = slots + group["range"][0].as_py() * width
+        return pa.table({k: pa.array([x.tobytes()], pa.binary()) for k, x in (("slots", slots.astype("<i4")), ("ratio", ratio.astype("<f8")), ("worth", worth.astype("<f8")))})
+
+    return choose
+
+
+def _place(chosen: np.ndarray):
+    def place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, column, kind = np.empty(SLOTS, dtype=np.int32), _column(chosen), _kind(len(chosen))
+        for b in batches:
+            packs = pa.array([_places(t, column, place, kind) for t in _each(b["_text"])], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["_order"], b["_toxic"], packs], names=["_order", "_toxic", "places"])
+
+    return place_all
 
 
-def _fit_group(keep: int):
-    def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_order", "_text"], kind="stable")
-        weights, b = fit(pdf["_text"].tolist(), pdf["_toxic"].to_numpy(np.int64), keep=keep)
-        slots = np.flatnonzero(weights)
-        return pd.DataFrame({"slots": [slots.astype("<i4").tobytes()], "weights": [weights[slots].astype("<f4").tobytes()], "intercept": [b]})
+def _fit_group(scale: np.ndarray):
+    def fit_group(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("_order", "ascending"), ("_toxic", "ascending"), ("places", "ascending")])
+        packs = group["places"].cast(pa.large_binary()).combine_chunks()
+        kind, at = np.dtype(_kind(len(scale))), np.frombuffer(packs.buffers()[1], "<i8")[packs.offset : packs.offset + len(packs) + 1]
+        places = np.frombuffer(packs.buffers()[2] or b"", kind, count=at[-1] // kind.itemsize)[at[0] // kind.itemsize :]
+        weights, b = _regression(places, np.diff(at) // kind.itemsize, group["_toxic"].to_numpy(), scale)
+        return pa.table({"weights": pa.array([weights.astype("<f4").tobytes()], pa.binary()), "intercept": [b]})
 
     return fit_group
 
@@ -147,11 +246,21 @@ def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col:
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     # At most 2 * max_rows ids: bounded, so broadcast.
     rows = texts.join(F.broadcast(sample), F.col("_id") == F.col("_lid")).groupBy("_lid", "_order", "_toxic").agg(F.min("_text").alias("_text"))
-    model = rows.select("_text", "_toxic", "_order").groupBy().applyInPandas(_fit_group(keep), "slots binary, weights binary, intercept double").first()
+    rows = checkpointed(rows.select("_text", "_toxic", "_order").coalesce(TALLIES))
+    n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
     weights = np.zeros(SLOTS, dtype=np.float32)
-    if model is None:
-        return weights, -40.0
-    weights[np.frombuffer(model["slots"], "<i4")] = np.frombuffer(model["weights"], "<f4")
+    if ones in (0, n):
+        return weights, -40.0 if ones == 0 else 40.0
+    tallies = rows.select("_text", "_toxic").mapInArrow(_tally, "range int, pack binary")
+    found = tallies.groupBy("range").applyInArrow(_choose(n, ones, keep), "slots binary, ratio binary, worth binary").collect()
+    # Sorted bests of all ranges, each at most keep.
+    slots, ratio, worth = (np.frombuffer(b"".join(r[k] for r in found), kind) for k, kind in (("slots", "<i4"), ("ratio", "<f8"), ("worth", "<f8")))
+    best = _best(slots, worth, keep)
+    best = best[np.argsort(slots[best])]
+    chosen, scale = slots[best], ratio[best]
+    placed = rows.mapInArrow(_place(chosen), "_order long, _toxic int, places binary")
+    model = placed.groupBy().applyInArrow(_fit_group(scale), "weights binary, intercept double").first()
+    weights[chosen] = np.frombuffer(model["weights"], "<f4")
     return weights, model["intercept"]
 
 
@@ -167,7 +276,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray, intercept: float, *, text_
         w, place = np.load(io.BytesIO(shared.value))["w"], np.empty(SLOTS, dtype=np.int32)
         for b in batches:
             texts = b["_text"] if "_text" in b.schema.names else b["_row"].field(text_col)
-            z = np.array([float(w[slots_of(t, place)].sum(dtype=np.float64)) + intercept for t in texts.to_pylist()], dtype=np.float64)
+            z = np.array([float(w[slots_of(t, place)].sum(dtype=np.float64)) + intercept for t in _each(texts)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([b["_row"], pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["_row", "_score"])
 
     rows = docs.select(whole_row(docs, keep), *([] if text_col in keep else [F.col(text_col).alias("_text")]))

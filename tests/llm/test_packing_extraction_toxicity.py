@@ -1,8 +1,10 @@
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +12,7 @@ from tokenizers import Tokenizer
 
 from glyphmend.llm import extract, toxicity
 from glyphmend.llm.extract import extract_main_text, main_text
-from glyphmend.llm.packing import Bins, coder, pack, pack_documents
+from glyphmend.llm.packing import Bins, _tokenise, coder, pack, pack_documents
 from glyphmend.llm.queries import default_tokenizer
 
 
@@ -219,3 +221,43 @@ def test_toxicity_odd_rows(spark):
     none = toxicity.train(docs, labels.limit(0))
     assert {r._score < 1e-9 for r in toxicity.score_texts(docs, *none, keep=["doc_id"]).collect()} == {True}
     assert toxicity.score_texts(docs.limit(0), *model, keep=["doc_id"]).count() == 0
+
+
+def two_classes(rows, words):
+    """Texts of words of two vocabularies, by turns, and their classes."""
+    rng = np.random.default_rng(7)
+    names = ["".join(x) for x in rng.choice(list("abcdefghijklmnop"), (2, 300, 6)).reshape(600, 6)]
+    toxic = np.arange(rows) % 2
+    return [" ".join(names[i] for i in 300 * y + rng.integers(0, 300, words)) for y in toxic], toxic
+
+
+def test_fit_takes_little_memory_beside_its_places():
+    texts, toxic = two_classes(2000, 500)
+    tracemalloc.start()
+    weights, _ = toxicity.fit(texts, toxic, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    place = np.empty(toxicity.SLOTS, dtype=np.int32)
+    held = sum(np.count_nonzero(weights[toxicity.slots_of(t, place)]) for t in texts)
+    # Counts, worths and scratch by slot; 16 bits a place in pieces and in a row; blocks.
+    assert held > 4_000_000 and peak < 80 * toxicity.SLOTS + 4 * held + 32 * toxicity.BLOCK
+
+
+def test_fit_in_tasks_is_fit_in_one(spark):
+    texts, toxic = two_classes(300, 150)
+    texts[:4] = [None, "", texts[2] * 300, texts[3] * 300]
+    rows = [(i, t, int(y)) for i, (t, y) in enumerate(zip(texts, toxic))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(7)
+    weights, b = toxicity.train(docs, docs.select("doc_id", "toxic"), keep=900)
+    order = [r.doc_id for r in docs.selectExpr("doc_id", "xxhash64(doc_id, 'toxicity') AS h").orderBy("h").collect()]
+    expected, intercept = toxicity.fit([texts[i] for i in order], toxic[order], keep=900)
+    assert np.count_nonzero(weights) == 900 and weights.tolist() == expected.tolist() and b == intercept
+    assert toxicity.train(docs, docs.where("toxic = 1").select("doc_id", "toxic"))[1] == 40.0
+
+
+def test_workers_keep_no_pieces_after_a_task():
+    path = default_tokenizer()
+    batch = pa.RecordBatch.from_pydict({"_id": [1, 2], "_text": ["some words and xkqzjv", None], "_hash": [5, 6]})
+    out = [b for b in _tokenise(path, 1, 1)(iter([batch, batch]))]
+    assert [len(b) for b in out] == [2, 2] and out[0]["ids"] == out[1]["ids"] and len(out[0]["ids"][0].as_py()) > 9
+    assert not coder(path).cache

@@ -9,7 +9,6 @@ from glyphmend.functions.letters import az_lower, case_of, characters, is_all_ca
 from glyphmend.functions.sentences import split_name
 from glyphmend.functions.words import words_of
 from glyphmend.operators.lexicon import ambiguous_keys, key_facts
-from glyphmend.operators.stored import small, stored
 
 FOLDABLE_KEY = "[cegiosu]"
 # The letters that a plain keyboard lacks.
@@ -23,19 +22,25 @@ def capitals(words: DataFrame) -> DataFrame:
 
 
 def error_kinds(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """kind, words, errors: by case, and overlapping them by what training knows of the word."""
-    facts = small(stored(key_facts(lexicon).select(F.col("key").alias("_key"), "is_ambiguous", "usual")))
-    rows = words.where(F.col("key").rlike(FOLDABLE_KEY)).join(facts, F.col("key") == F.col("_key"), "left")
+    """kind, words, errors: by case, and overlapping them by what training knows of the word.
+
+    Equal words are counted first, so only distinct ones meet what is known of their key.
+    """
+    facts = key_facts(lexicon).select(F.col("key").alias("_key"), "is_ambiguous", "usual")
+    first = F.col("pos") == 0
+    distinct = words.where(F.col("key").rlike(FOLDABLE_KEY)).groupBy("key", "expected", "produced", first.alias("_first")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = distinct.join(facts, F.col("key") == F.col("_key"), "left")
     wrong = F.col("expected") != F.col("produced")
     kinds = F.array_compact(
         F.array(
-            case_of(F.col("expected"), F.col("pos") == 0),
+            case_of(F.col("expected"), F.col("_first")),
             F.when(F.col("_key").isNull(), "never seen in training").when(F.col("is_ambiguous"), "ambiguous"),
             F.when(wrong & (F.col("usual") == az_lower(F.col("produced"))), "wrote the usual spelling"),
             F.when(wrong, "all"),
         )
     )
-    return rows.select(F.explode(kinds).alias("kind"), wrong.cast("long").alias("wrong")).groupBy("kind").agg(F.count(F.lit(1)).alias("words"), F.sum("wrong").alias("errors"))
+    each = rows.select(F.explode(kinds).alias("kind"), "_n", F.when(wrong, F.col("_n")).otherwise(0).alias("_wrong"))
+    return each.groupBy("kind").agg(F.sum("_n").alias("words"), F.sum("_wrong").alias("errors"))
 
 
 def kind_shares(kinds: DataFrame) -> DataFrame:

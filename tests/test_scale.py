@@ -1,9 +1,13 @@
 """What keeps the restoration queries in proportion to their input, and the same results by the plain way."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
+from glyphmend.functions import letters as L
+from glyphmend.functions import sentences as S
 from glyphmend.functions import words as W
-from glyphmend.operators import analysis, draws, scoring
+from glyphmend.operators import analysis, annotate, draws, scoring, spelling, tagger, windows
 from glyphmend.operators import lexicon as lex
 from glyphmend.operators import restore as R
 
@@ -81,3 +85,79 @@ def test_reverting_shuffles_changes_only(spark):
     back = R.revert(found, rows, found.where("start = 8"), id_col="doc_id", text_col="text")
     assert "Window" not in plan_of(back) and "posexplode" not in plan_of(back)
     assert {r.doc_id: r.restored for r in back.collect()} == {0: "bu işıq sondu", 1: "x", 2: ""}
+
+
+ODD = ["Şəkər çay, ΟΔΟΣ ISIQ", "İstanbul şəhəri ЖЖ çoxdur", "", None, "漢字 c 漢字 " + "".join(chr(0x4E00 + i) + "c" for i in range(200))] * 3
+
+
+def slow_letters(texts):
+    lower = lambda t: t.translate({ord("I"): "ı", ord("İ"): "i"}).lower().translate(str.maketrans(L.ACCENTED, L.PLAIN))
+    for i, t in enumerate(texts):
+        key, plain = "    " + lower(t or "") + "    ", (t or "").translate(str.maketrans(L.ACCENTED, L.PLAIN))
+        for at, c in enumerate(plain):
+            if c in L.PLAIN:
+                yield i, at, c, int(c != t[at]), key[at : at + 9]
+
+
+def test_windows_are_counted_and_met_as_letter_by_letter(spark, monkeypatch):
+    monkeypatch.setattr(tagger, "BLOCK", 100)  # several blocks
+    monkeypatch.setattr(windows, "AT_ONCE", 50)
+    rows = list(slow_letters(ODD))
+    seen, marked = Counter(), Counter()
+    for _, _, _, label, around in rows:
+        for r in tagger.RADII:
+            seen[r, around[4 - r : 5 + r]] += 1
+            marked[r, around[4 - r : 5 + r]] += label
+    df = texts(spark, ODD)
+    trained = tagger.train(df, id_col="doc_id")
+    assert plan_of(trained).count("Exchange") == 1 + plan_of(df).count("Exchange")
+    model = {(x.radius, x.ctx): (x.seen, x.marked) for x in trained.collect()}
+    assert model == {k: (n, marked[k]) for k, n in seen.items() if n >= 3}
+    # A model that does not know some windows: narrower ones decide.
+    model = {k: v for i, (k, v) in enumerate(sorted(model.items())) if i % 3}
+    table = spark.createDataFrame([(*k, *v) for k, v in model.items()], "radius int, ctx string, seen long, marked long")
+    got = {(x.doc_id, x.at): (x.letter, x.label, x.probability) for x in tagger.probabilities(df, table, id_col="doc_id").collect()}
+    want = {}
+    for i, at, c, label, around in rows:
+        known = [model[r, around[4 - r : 5 + r]] for r in tagger.RADII if (r, around[4 - r : 5 + r]) in model]
+        want[i, at] = (c, label, known[0][1] / known[0][0] if known else 0.0)
+    assert got == want
+    tagged = {x.doc_id: x.restored for x in tagger.tag(df, table, id_col="doc_id").collect()}
+    for i, t in enumerate(ODD):
+        marks = {at for (j, at), (_, _, p) in want.items() if j == i and p > 0.5}
+        assert tagged[i] == (None if t is None else "".join(c.translate(str.maketrans(L.PLAIN, L.ACCENTED)) if at in marks else c for at, c in enumerate(t)))
+
+
+def test_sentences_stay_inside_their_text(spark):
+    rows = texts(spark, ["Bu prof. Əli gəldi. O getdi!  \n\n Son prof.", "", None, " \n ", "a.\nb", "x… y? z. "])
+    out = S.sentences(rows, id_col="doc_id", text_col="text")
+    assert "Window" not in plan_of(out) and "Exchange" not in plan_of(out)
+    got = sorted((r.doc_id, r.sent_pos, r.sentence) for r in out.collect())
+    assert got == [(0, 0, "Bu prof. Əli gəldi."), (0, 1, "O getdi!"), (0, 2, "Son prof."), (4, 0, "a. b"), (5, 0, "x…"), (5, 1, "y?"), (5, 2, "z.")]
+
+
+def test_answers_shuffle_named_words_only(spark):
+    named = [f"k{chr(97 + i // 10)}{chr(97 + i % 10)}" for i in range(80)]
+    many = " ".join(named)
+    rows = [(1, "isiq sondu", "işıq sondu", "söndü"), (2, many, many, many + " kab"), (3, "a b", "a b", "!"), (4, many, many, " ".join(named[:0:-1]))]
+    out = annotate.applied_answers(spark.createDataFrame(rows, "id long, typed string, suggestion string, answer string"))
+    assert "array_contains" in plan_of(out)
+    assert {r.id: r.correct for r in out.collect()} == {1: "işıq söndü", 2: many, 3: "a b", 4: many}
+
+
+def test_alarms_are_counted_by_key(spark):
+    words = spark.createDataFrame([("qiz", "qız", 9), ("ev", "ev", 9)], "key string, form string, n long")
+    endings = spark.createDataFrame([("lar",)], "ending string")
+    rows = spelling.false_alarms(texts(spark, ["Qız ev qqq. Qqq Qqq qqq", None, ""]), words, endings, id_col="doc_id", text_col="text")
+    assert tuple(rows.first()) == (6, 3, 4)
+    assert tuple(spelling.false_alarms(texts(spark, [""]), words, endings, id_col="doc_id", text_col="text").first())[0] == 0
+
+
+def test_scored_words_do_not_meet_every_key(spark):
+    words = lex.build_lexicon(W.tokens(texts(spark), id_col="doc_id", text_col="text"))
+    big = words.select("key", "form", "n", "first_seen").unionByName(spark.range(1_000_100).select(F.concat(F.lit("k"), "id").alias("key"), F.lit("x").alias("form"), F.lit(1).cast("long").alias("n"), F.struct(F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("pos")).alias("first_seen")))
+    pairs = spark.createDataFrame([(1, 1, "Qız söz", "Qiz soz"), (2, 1, "zz ev", "zz ev")], "id long, grp long, expected string, produced string")
+    out = scoring.tallies(pairs, big)
+    assert "SortMergeJoin [key" not in plan_of(out)
+    r = out.first()
+    assert (r.words, r.correct, r.wrong_chars, r.exact, r.unseen, r.chars, r.sentences) == (4, 2, 2, 1, 3, 12, 2)

@@ -161,3 +161,20 @@ def test_scored_words_do_not_meet_every_key(spark):
     assert "SortMergeJoin [key" not in plan_of(out)
     r = out.first()
     assert (r.words, r.correct, r.wrong_chars, r.exact, r.unseen, r.chars, r.sentences) == (4, 2, 2, 1, 3, 12, 2)
+
+
+def test_pieces_are_judged_by_their_last_characters(spark):
+    tails = ["prof.", "Prof.", "x prof.", "xprof.", "a.b.", "İ.", "xİ.", "x İ.", "..", "prof..", "akad.", "1akad.", "b", "söz.", "mln.akad.", ".", "ə.", "ΟΔΟΣ.", "q\tY."]
+    df = spark.createDataFrame([(x,) for x in tails], "p string")
+    for r in df.select("p", S._abbreviated(F.col("p")).alias("a"), (F.col("p").endswith(".") & S.ends_with_abbreviation(F.col("p"))).alias("b")).collect():
+        assert (r.a and r.p.endswith(".")) == r.b, r.p
+
+
+def test_usable_as_counted(spark):
+    lines = ["Bu bir uzun cümlədir ki.", "Bu bir  uzunca", "a  b\u00a0c d eeeeeeeeeeeeeeeeee", "Жук bir iki üç dörd beş altı", "Söz 1234567 8901234 567890 12", "Bu bir iki | üç dörd beş", "1 Bu bir iki üç dörd beş"]
+    letters, s = F.regexp_count("s", F.lit(r"\p{L}")), F.col("s")
+    slow = F.length(s).between(20, 300) & (F.regexp_count(s, F.lit(f"[^{S.SPACE[1:-2]}]+")) >= 4) & ~s.rlike(S.MARKUP) & s.rlike(r"^\p{L}") & (letters / F.length(s) >= 0.6) & (letters == F.regexp_count(s, F.lit(f"[{S.AZ_LETTERS}a-zA-Z]")))
+    fast = S.is_usable(F.col("s"))
+    assert "regexp_extract_all" not in str(fast) and "regexp_count" not in str(fast)
+    rows = spark.createDataFrame([(x,) for x in lines], "s string").select("s", slow.alias("a"), fast.alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and {r.a for r in rows} == {True, False}
